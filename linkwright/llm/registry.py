@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from linkwright.llm import chat, mixing
+from linkwright.llm import chat, mixing, neardup
 
 QUERIES = {
     "op1_chat_rotation": chat.query,
     "op2_source_mixture": mixing.query,
+    "op3_simhash_near_dedup": neardup.query,
 }
 ORACLE_SQL = {
     "op1_chat_rotation": chat.ORACLE,
