@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from linkwright.llm import chat, fingerprint, mixing, neardup
+from linkwright.llm import chat, fingerprint, mixing, neardup, quality
 
 QUERIES = {
     "op1_chat_rotation": chat.query,
     "op2_source_mixture": mixing.query,
     "op3_simhash_near_dedup": neardup.query,
+    "op4_quality_rules": quality.query,
     "op7_document_fingerprints": fingerprint.query,
 }
 ORACLE_SQL = {
