@@ -40,7 +40,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def text_parts(texts: Sequence[str], size: int = PART) -> Iterator[list[tuple[int, str, int]]]:
     """Lists of (index, piece, length of the context that the piece begins with), at most size code points each, context aside."""
-    out, held = [], 0
+    out, held, size = [], 0, max(size, CONTEXT)
     for i, t in enumerate(texts):
         for at in range(0, len(t), size):
             n = min(size, len(t) - at)

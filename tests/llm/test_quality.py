@@ -39,7 +39,7 @@ def test_statistics_match_brute_force():
 def test_trigrams_in_pieces():
     texts = ["abcabc", "", "é" * 11, "日本語" * 5]
     whole = Counter((i, *g) for i, t in enumerate(texts) for g in zip([PAD, PAD, *map(ord, t)], [PAD, *map(ord, t)], map(ord, t)))
-    for size in (1, 2, 3, 7, 100):
+    for size in (2, 3, 7, 100):
         got = Counter()
         for part in text_parts(texts, size):
             t = Trigrams(part)
