@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from linkwright.llm import chat, fingerprint, langid, mixing, neardup, quality
+from linkwright.llm import chat, fingerprint, langid, mixing, neardup, quality, toxicity
 
 QUERIES = {
     "op1_chat_rotation": chat.query,
     "op2_source_mixture": mixing.query,
     "op3_simhash_near_dedup": neardup.query,
     "op4_quality_rules": quality.query,
+    "op5_toxicity": toxicity.query,
     "op6_language_id": langid.query,
     "op7_document_fingerprints": fingerprint.query,
 }
