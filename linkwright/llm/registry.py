@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkwright.llm import chat, fingerprint, langid, mixing, neardup, quality, toxicity
+from linkwright.llm import bytequality, chat, fingerprint, langid, mixing, neardup, quality, toxicity
 
 QUERIES = {
     "op1_chat_rotation": chat.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.query,
     "op6_language_id": langid.query,
     "op7_document_fingerprints": fingerprint.query,
+    "op8_byte_quality": bytequality.query,
 }
 ORACLE_SQL = {
     "op1_chat_rotation": chat.ORACLE,
