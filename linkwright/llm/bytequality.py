@@ -40,11 +40,11 @@ _PAD = 256
 
 
 def _layout(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with each text filled up to whole blocks and a further WIDTH of padding; blocks of each text, and its length."""
+    """Bytes with WIDTH of padding before each text, so that no filter runs from one into the next, and filled up to whole blocks; blocks of each text, and its length."""
     sizes = np.array([len(t) for t in texts])
-    blocks = np.maximum(-(-sizes // BLOCK), 1)
+    blocks = -(-(sizes + WIDTH) // BLOCK)
     data = np.full(int(blocks.sum()) * BLOCK + WIDTH, _PAD, np.uint16)
-    begin = (np.cumsum(blocks) - blocks) * BLOCK
+    begin = (np.cumsum(blocks) - blocks) * BLOCK + WIDTH
     flat = np.frombuffer(b"".join(texts), np.uint8)
     data[np.arange(len(flat)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)] = flat
     return data, blocks, sizes
