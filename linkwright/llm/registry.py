@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkwright.llm import bytequality, chat, fingerprint, langid, mixing, neardup, quality, toxicity
+from linkwright.llm import bytequality, chat, fingerprint, langid, mixing, neardup, quality, sentpiece, toxicity
 
 QUERIES = {
     "op1_chat_rotation": chat.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_id": langid.query,
     "op7_document_fingerprints": fingerprint.query,
     "op8_byte_quality": bytequality.query,
+    "op10_sentencepiece": sentpiece.query,
 }
 ORACLE_SQL = {
     "op1_chat_rotation": chat.ORACLE,
