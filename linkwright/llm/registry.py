@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from linkwright.llm import bytequality, chat, fingerprint, langid, mixing, neardup, quality, sentpiece, toxicity
+import corpus_pipeline
+from linkwright.llm import bytequality, chat, fingerprint, langid, mixing, neardup, quality, sentpiece, shards, toxicity
 
 QUERIES = {
     "op1_chat_rotation": chat.query,
@@ -13,7 +14,9 @@ QUERIES = {
     "op6_language_id": langid.query,
     "op7_document_fingerprints": fingerprint.query,
     "op8_byte_quality": bytequality.query,
+    "op9_size_tiered_shards": shards.query,
     "op10_sentencepiece": sentpiece.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op1_chat_rotation": chat.ORACLE,
