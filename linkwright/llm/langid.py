@@ -39,15 +39,21 @@ FIELDS = [("l_pred", T.StringType()), ("l_score", T.DoubleType()), ("l_cover", T
 
 
 class _Letters:
-    """Whether a code point is a letter; made once in each process."""
+    """Whether a code point is a letter; made once in each process, and left behind when code travels."""
 
-    table: np.ndarray | None = None
+    def __init__(self):
+        self.table: np.ndarray | None = None
 
-    @classmethod
-    def get(cls) -> np.ndarray:
-        if cls.table is None:
-            cls.table = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        return cls.table
+    def __reduce__(self):
+        return (_Letters, ())
+
+    def get(self) -> np.ndarray:
+        if self.table is None:
+            self.table = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        return self.table
+
+
+_LETTERS = _Letters()
 
 
 def letters_only(texts: Sequence[str]) -> list[str]:
@@ -55,7 +61,7 @@ def letters_only(texts: Sequence[str]) -> list[str]:
     out = []
     for part in text_parts([t.lower() for t in texts]):
         codes = code_points("".join(p[c:] for _, p, c in part)).copy()
-        letter = _Letters.get()[codes]
+        letter = _LETTERS.get()[codes]
         codes[~letter] = 32
         ends = np.cumsum([len(p) - c for _, p, c in part])
         starts = ends - [len(p) - c for _, p, c in part]

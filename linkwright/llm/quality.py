@@ -54,20 +54,26 @@ SCORE_FIELDS = [("q_chars", T.LongType()), ("q_surprise", T.DoubleType())]
 
 
 class _Powers:
-    """Powers of the base and of its inverse, as many as were needed so far."""
+    """Powers of the base and of its inverse, as many as were needed so far; they stay behind when code travels to executors."""
 
-    up = down = np.ones(1, np.uint64)
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            cls.up, cls.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (_U(_BASE), _U(_INVERSE)))
-        return cls.up[:n], cls.down[:n]
+    def __reduce__(self):
+        return (_Powers, ())
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (_U(_BASE), _U(_INVERSE)))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
 
 
 def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of values[start:end], the same for the same content and length wherever it stands."""
-    up, down = _Powers.get(len(values) + 1)
+    up, down = _POWERS.get(len(values) + 1)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)])
     return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
