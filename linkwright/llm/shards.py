@@ -6,7 +6,7 @@ target or more is done. Rounds follow until no tier has FAN_IN runs. What a read
 version: each append and each wave of merges writes its files first and then commits the next manifest by a rename that
 fails if that version exists, so a reader sees the one state or the other, a writer that lost the race tries again from
 what it finds, and a job that dies leaves files that no manifest names (vacuum deletes them, and those that only old
-versions name). A merge is a union of single-partition reads, a task per bundle of runs, without a shuffle.
+versions name). A merge is a job of one task per bundle of runs, JOBS of them at a time, without a shuffle.
 
 The driver holds the manifest: one short entry per file.
 
@@ -21,8 +21,8 @@ import json
 import math
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ TARGET_BYTES = 128 << 20
 SMALLEST = 1 << 20
 RATIO = 4
 FAN_IN = 4
-#: Bundles that are merged in one job and committed together.
-WAVE = 64
+#: Bundles that are merged before they are committed together, and how many of them at a time.
+WAVE, JOBS = 64, 16
 ARRIVALS = 8
 
 
@@ -197,13 +197,18 @@ class Store:
             if not bundles:
                 return now
             schema = self._schema(now)
-            merged = reduce(DataFrame.unionAll, [self.spark.read.schema(schema).parquet(*[r.path for r in b]).coalesce(1) for b in bundles])
             folder = f"{self.root}/data/m-{uuid.uuid4().hex}"
-            merged.write.option("compression", "zstd").parquet(folder)
+
+            def merge(k: int, bundles=bundles, schema=schema, folder=folder) -> Run:
+                b = bundles[k]
+                self.spark.read.schema(schema).parquet(*[r.path for r in b]).coalesce(1).write.option("compression", "zstd").parquet(f"{folder}/{k}")
+                ((path, rows, size),) = self._written(f"{folder}/{k}", schema)
+                assert rows == sum(r.rows for r in b)
+                return Run(path, rows, size, b[0].born, 1 + max(r.generation for r in b))
+
+            with ThreadPoolExecutor(JOBS) as pool:
+                added = list(pool.map(merge, range(len(bundles))))
             gone = {r.path for b in bundles for r in b}
-            # a task writes one file for its bundle, in order of the bundles
-            added = [Run(p, n, size, b[0].born, 1 + max(r.generation for r in b)) for (p, n, size), b in zip(self._written(folder, schema), bundles, strict=True)]
-            assert [r.rows for r in added] == [sum(r.rows for r in b) for b in bundles]
             while True:
                 now = self.manifest()
                 if not gone <= {r.path for r in now.runs}:

@@ -36,6 +36,16 @@ def test_appends_compaction_and_time_travel(spark):
     assert store.compact(target=1 << 20, smallest=1 << 14, fan_in=4).version == 7
 
 
+def test_each_bundle_becomes_a_file(spark):
+    store = Store(spark, new_path(spark, "store"))
+    docs = spark.range(0, 4000, 1, 16).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    store.append(docs)
+    size = store.manifest().runs[0].bytes
+    last = store.compact(target=5 * size, smallest=1 << 10, ratio=4, fan_in=4)
+    assert 3 <= len(last.runs) <= 4 and rows(store.read()) == rows(docs)
+    assert sum(r.rows for r in last.runs) == 4000
+
+
 def test_arrivals_in_one_pass_and_new_columns(spark):
     store = Store(spark, new_path(spark, "store"))
     docs = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("when"))
