@@ -208,6 +208,12 @@ _c = _clean("business_name")
 _LIST = "array_to_string({}, '|')"
 
 
+#: Longest common subsequence: a row of the table per character of the one text, from the row before by a running maximum.
+_STEP = "[list_max([greatest(acc[k], CASE WHEN y[k] = chr(x[1]) THEN coalesce(acc[k - 1], 0) + 1 ELSE 0 END) FOR k IN range(1, j + 1)]) FOR j IN range(1, length(y) + 1)]"
+SORTED = f"""st AS (SELECT s1_id, target_id, array_to_string(list_sort([t FOR t IN string_split(l.cleaned, ' ') IF t <> '']), ' ') AS x_, array_to_string(list_sort([t FOR t IN string_split(r.cleaned, ' ') IF t <> '']), ' ') AS y {PAIRS}),
+lc AS (SELECT s1_id, target_id, x_, y, CASE WHEN x_ = '' OR y = '' THEN 0 ELSE list_last(list_reduce([[unicode(c)] FOR c IN string_split(x_, '')], lambda acc, x: {_STEP}, [0 FOR k IN range(1, length(y) + 1)])) END AS n FROM st)"""
+
+
 def sql() -> dict[str, str]:
     r, out = RECORDS, {}
     out["entities"] = f"WITH {E} SELECT * FROM e"
@@ -244,6 +250,7 @@ SELECT total_s1, total_gt_pairs, recalled_gt_pairs, round(recalled_gt_pairs::DOU
     ascii_pairs = f"SELECT s1_id, target_id {PAIRS} WHERE {ASCII}"
     for name, cols in (("sim_levenshtein", ["name_levenshtein", "addr_levenshtein"]), ("sim_jaro_winkler", ["name_jaro_winkler"]), ("features_name", NAME), ("features_address", ADDRESS), ("features_interaction", INTERACTION), ("features_all", ALL)):
         out[name] = f"{feat} SELECT s1_id, target_id, {_rounded(cols)} FROM fi SEMI JOIN ({ascii_pairs}) USING (s1_id, target_id)"
+    out["sim_token_sort"] = f"{cand}, {SORTED} SELECT s1_id, target_id, round(CASE WHEN x_ = '' AND y = '' THEN 1.0 ELSE 2 * n::DOUBLE / greatest(length(x_) + length(y), 1) END, 6) AS name_token_sort_ratio FROM lc"
     out["match_semi_subset"] = f"{cand}, {BASE} SELECT * FROM bl SEMI JOIN ck USING (s1_id, target_id)"
     out["missed_positives_anti"] = f"{cand} SELECT * FROM gt ANTI JOIN ck USING (s1_id, target_id)"
     out["split_train_val"] = f"WITH {E}, {TRUTH} SELECT s1_id, row_number() OVER (ORDER BY md5('42|' || s1_id), s1_id) <= floor((SELECT count(*) FROM asked) * (1 - 0.2)) AS is_train FROM asked"
@@ -253,7 +260,8 @@ SELECT total_s1, total_gt_pairs, recalled_gt_pairs, round(recalled_gt_pairs::DOU
     out["entity_f05"] = f"{r}, {TRUTH}, {BASE}, {_counts(PRED_CORE)}, {_ef('s1_id, ')} SELECT s1_id, n_pred, n_gt, tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f05, 6) AS f05 FROM ef"
     out["macro_f05"] = f"{r}, {TRUTH}, {BASE}, {_counts(PRED_BASE)}, {_ef()} {MACRO}"
     out["macro_f05_core"] = f"{r}, {TRUTH}, {_counts(PRED_CORE)}, {_ef()} {MACRO}"
-    sweep = f"{feat}, {SCORED}, {THRESHOLDS}, {SWEEP}"
+    plain = SCORED.replace("FROM fi", f"FROM fi SEMI JOIN ({ascii_pairs}) USING (s1_id, target_id)")
+    sweep = f"{feat}, {plain}, {THRESHOLDS}, {SWEEP}"
     out["threshold_sweep"] = f"{sweep} SELECT * FROM sw"
     out["threshold_best"] = f"{sweep} SELECT * FROM sw ORDER BY macro_f05 DESC, threshold LIMIT 1"
     total = lambda x: f"CAST(coalesce(sum({x}), 0) AS BIGINT)"

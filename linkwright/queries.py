@@ -118,7 +118,7 @@ def _fixed_scores(inputs: Inputs, ascii_only: bool = False) -> DataFrame:
 
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
     inputs = Inputs(spark, d)
-    return evaluation.threshold_sweep(_fixed_scores(inputs), inputs.truth, inputs.asked)
+    return evaluation.threshold_sweep(_fixed_scores(inputs, ascii_only=True), inputs.truth, inputs.asked)
 
 
 def _target_sample(spark: SparkSession, d: str) -> DataFrame:
