@@ -240,8 +240,12 @@ def sql() -> dict[str, str]:
     cand = f"{r}, {TRUTH}, {CANDIDATES}, {TOP}"
     out["candidate_union_provenance"] = f"{r}, {CANDIDATES} SELECT * FROM cu"
     out["candidate_topk"] = f"{cand} SELECT * FROM ck"
-    out["candidate_recall"] = f"""{cand}, q AS (SELECT (SELECT count(*) FROM asked) AS total_s1, (SELECT count(*) FROM gt) AS total_gt_pairs, (SELECT count(*) FROM gt SEMI JOIN ck USING (s1_id, target_id)) AS recalled_gt_pairs, (SELECT count(*) FROM ck) AS total_candidates_generated, (SELECT count(*) FROM tg) AS nt)
+    figures = """q AS (SELECT (SELECT count(*) FROM asked) AS total_s1, (SELECT count(*) FROM gt) AS total_gt_pairs, (SELECT count(*) FROM gt SEMI JOIN ck USING (s1_id, target_id)) AS recalled_gt_pairs, (SELECT count(*) FROM ck) AS total_candidates_generated, (SELECT count(*) FROM tg) AS nt)
 SELECT total_s1, total_gt_pairs, recalled_gt_pairs, round(recalled_gt_pairs::DOUBLE / greatest(total_gt_pairs, 1), 5) AS candidate_recall, round(recalled_gt_pairs::DOUBLE / greatest(total_gt_pairs, 1) * 100, 2) AS candidate_recall_pct, total_candidates_generated, round(total_candidates_generated::DOUBLE / greatest(total_s1, 1), 2) AS avg_candidates_per_s1, round(1 - total_candidates_generated::DOUBLE / greatest(total_s1 * nt, 1), 6) AS reduction_ratio FROM q"""
+    out["candidate_recall"] = f"{cand}, {figures}"
+    few = "s1 AS (SELECT * FROM a WHERE source = 1 AND entity_id IN (SELECT s1_id FROM gt)), tg AS (SELECT * FROM a WHERE source > 1 AND entity_id IN (SELECT target_id FROM gt) UNION ALL SELECT * FROM (SELECT * FROM a WHERE source > 1 AND entity_id NOT IN (SELECT target_id FROM gt) QUALIFY row_number() OVER (PARTITION BY source ORDER BY ingest_seq) <= 50))"
+    pairs, records = TRUTH.split(", asked AS")[0], RECORDS.split(", s1 AS")[0]
+    out["controlled_recall"] = f"{records}, {pairs}, asked AS (SELECT DISTINCT s1_id FROM gt), {few}, {CANDIDATES}, {TOP}, {figures}"
     kinds = " UNION ALL ".join(f"SELECT '{k}' AS strategy, {c} AS on_, s1_id, target_id FROM ck" for k, c in (("union", "true"), ("exact", "gen_exact"), ("token", "gen_token"), ("tfidf", "gen_tfidf"), ("address", "gen_address")))
     out["recall_by_strategy"] = f"{cand}, ks AS ({kinds}) SELECT strategy, count(*) FILTER (on_) AS candidates, count(gt.s1_id) FILTER (on_) AS recalled FROM ks LEFT JOIN gt USING (s1_id, target_id) GROUP BY strategy"
     feat = f"{cand}, {FEATURES}"

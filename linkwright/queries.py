@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkwright.functions import text as X
 from linkwright.operators import blocking, candidates, evaluation, features, model, profile, training
 from linkwright.operators.normalize import addresses, entities_normalized, names
+from linkwright.plans.experiments import controlled_recall
 from linkwright.plans.staging import staged
 from linkwright.sources import tsv
 from linkwright.sources.entities import entities, truth_entities, truth_pairs
@@ -184,6 +185,7 @@ QUERIES: dict[str, Query] = {
     "candidate_topk": _with_candidates(lambda i, found, s1, targets: found),
     "candidate_recall": _with_candidates(lambda i, found, s1, targets: candidates.recall(found, i.truth, i.asked, targets)),
     "recall_by_strategy": _with_candidates(lambda i, found, s1, targets: candidates.recall_by_strategy(found, i.truth)),
+    "controlled_recall": lambda s, d: (lambda i: controlled_recall(i.records, i.truth, 50))(Inputs(s, d)),
     "sim_jaccard": _rounded(["name_token_jaccard", "addr_token_jaccard", "name_char_jaccard"]),
     "sim_overlap": _rounded(["name_token_overlap", "addr_token_overlap"]),
     "sim_levenshtein": _rounded(["name_levenshtein", "addr_levenshtein"], ascii_only=True),

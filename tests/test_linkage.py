@@ -325,3 +325,20 @@ def test_stream_of_targets(spark, linked, tmp_path):
     got = set()
     match_stream(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")), s1, lambda df, _: got.update(pairs(df)), str(tmp_path / "checkpoint")).awaitTermination()
     assert ("S1-1", "S2-10") in got and ("S1-2", "S2-20") in got
+
+
+def test_reports(spark, linked, tmp_path):
+    from linkwright.plans.experiments import blocking_report, controlled_recall, error_report
+
+    _, _, truth, asked = linked
+    rows = [(i, *r) for i, r in enumerate(TRAIN)]
+    records = spark.createDataFrame(rows, "ingest_seq long, source int, entity_id string, business_name string, business_address string, country string")
+    row = controlled_recall(records, truth, 1).first()
+    assert row.total_s1 == 4 and row.total_gt_pairs == 6 and row.candidate_recall == 1.0
+    report = blocking_report(records, truth, asked, enable_tfidf=False)
+    assert report["union"]["recalled_gt_pairs"] == 6 and report["strategies"]["union"]["recalled"] == 6
+    predicted = spark.createDataFrame([("S1-1", "S2-10"), ("S1-1", "S2-99"), ("S1-3", "S3-99")], "s1_id string, target_id string")
+    errors = error_report(predicted, truth, asked, records, str(tmp_path))
+    assert errors["aggregate"]["total_fp_pairs"] == 2 and errors["aggregate"]["total_fn_pairs"] == 5
+    assert [r["target_id"] for r in errors["samples"]["false_positive_pairs"]] == ["S2-99"]
+    assert json.loads((tmp_path / "error_analysis.json").read_text()) == errors and (tmp_path / "error_analysis.md").exists()
