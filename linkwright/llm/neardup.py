@@ -209,7 +209,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, radius=radius)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__rows"))
     kept = staged(kept.select("__keep", "__rows"), "kept")
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")))
+    # as many ids as documents: never a side to broadcast, whatever the size of the corpus
+    out = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep")))
     once = out.filter("__rows = 1").select(*[f"`{c}`" for c in docs.columns])
     if kept.filter("__rows > 1").limit(1).count() == 0:
         return once
