@@ -56,7 +56,7 @@ def document_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def _blocks(blocks: int) -> list[Column]:
-    """The fingerprint in blocks of equal width, from its 8 bits on; blocks divides 16."""
+    """The fingerprint in blocks of equal width, of whole bytes."""
     parts = [F.shiftrightunsigned(F.col(f"fp{i}"), s).bitwiseAND(F.lit(0xFF)) for i in range(2) for s in range(0, 64, 8)]
     size = 16 // blocks
     return [F.concat_ws(".", *[p.cast("string") for p in parts[k * size : (k + 1) * size]]) for k in range(blocks)]
@@ -68,8 +68,8 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, bloc
     Copies are reduced to one fingerprint on both sides first. A pair turns up in each table that it agrees in and is
     kept in the first of these alone: the one named by its first agreeing blocks.
     """
-    if not 0 <= radius < blocks or 16 % blocks:
-        raise ValueError("radius must be less than blocks, a divisor of 16")
+    if not 0 <= radius < blocks or blocks not in (2, 4, 8, 16):
+        raise ValueError("radius must be less than blocks: 2, 4, 8 or 16")
     choices = list(combinations(range(blocks), blocks - radius))
 
     def tables(df: DataFrame) -> DataFrame:
@@ -79,7 +79,14 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, bloc
 
     left = tables(queries).select(F.col("fp0").alias("q0"), F.col("fp1").alias("q1"), "table", "key")
     bits = distance((F.col("q0"), F.col("q1")), (F.col("fp0"), F.col("fp1")))
-    return left.join(tables(fps), ["table", "key"]).withColumn("bits", bits).filter(F.col("bits") <= radius).select("q0", "q1", "fp0", "fp1", "bits").distinct()
+    width = 8 * (16 // blocks)
+    differ = [F.col(f"q{k // (blocks // 2)}").bitwiseXOR(F.col(f"fp{k // (blocks // 2)}")) for k in range(blocks)]
+    part = lambda k: F.shiftrightunsigned(differ[k], width * (k % (blocks // 2))).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    agree = sum((F.when(part(k) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(blocks)), F.lit(0))
+    masks = F.array(*[F.lit(sum(1 << k for k in choice)) for choice in choices])
+    upto = F.array(*[F.lit((2 << choice[-1]) - 1) for choice in choices])
+    first = agree.bitwiseAND(F.get(upto, F.col("table"))) == F.get(masks, F.col("table"))
+    return left.join(tables(fps), ["table", "key"]).withColumn("bits", bits).filter((F.col("bits") <= radius) & first).select("q0", "q1", "fp0", "fp1", "bits")
 
 
 def edited_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:

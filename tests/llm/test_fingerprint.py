@@ -35,8 +35,8 @@ def test_no_rows_one_row_and_null_id(spark):
     assert row.edited_sha256 == hashlib.sha256(b"only oneonly one").hexdigest()
 
 
-@pytest.mark.parametrize("radius", [0, 2, 6])
-def test_tables_find_all_within_the_radius(spark, radius):
+@pytest.mark.parametrize(("radius", "blocks"), [(0, 8), (2, 4), (6, 8), (3, 4), (1, 2)])
+def test_tables_find_all_within_the_radius(spark, radius, blocks):
     rng = random.Random(radius)
     values = set()
     for _ in range(12):
@@ -50,7 +50,9 @@ def test_tables_find_all_within_the_radius(spark, radius):
     split = lambda v: (signed(v & (2**64 - 1)), signed(v >> 64))
     df = spark.createDataFrame([split(v) for v in values for _ in range(2)], "fp0 long, fp1 long")
     queries = [v for k, v in enumerate(sorted(values)) if k % 5 == 0]
-    got = {((r.q0, r.q1), (r.fp0, r.fp1), r.bits) for r in P.within_radius(spark.createDataFrame([split(v) for v in queries], "fp0 long, fp1 long"), df, radius).collect()}
+    found = P.within_radius(spark.createDataFrame([split(v) for v in queries], "fp0 long, fp1 long"), df, radius, blocks).collect()
+    got = {((r.q0, r.q1), (r.fp0, r.fp1), r.bits) for r in found}
+    assert len(got) == len(found)
     assert got == {(split(q), split(v), bin(q ^ v).count("1")) for q in queries for v in values if bin(q ^ v).count("1") <= radius}
 
 
