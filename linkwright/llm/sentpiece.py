@@ -281,9 +281,14 @@ def scan(matrices: DataFrame, group: int = GROUP) -> DataFrame:
     """
     none = F.lit(None).cast("binary")
     grouped = matrices.withColumn("group", F.expr(f"chunk div {group}").cast("int"))
-    products = grouped.groupBy("rid", "group").applyInPandas(_group_product, "rid long, chunk int, matrix binary")
+    # groups are small rows but cost time: they are dealt to as many tasks as shuffles have, not joined by their bytes
+    tasks = int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = grouped.filter("group > 0").select("rid").distinct()
+    products = grouped.join(several, "rid", "left_semi").repartition(tasks, "rid", "group").groupBy("rid", "group").applyInPandas(_group_product, "rid long, chunk int, matrix binary")
     outer = products.withColumns({"ahead": none, "behind": none}).groupBy("rid").applyInPandas(_group_states, _STATES).select("rid", F.col("chunk").alias("group"), "ahead", "behind")
-    return grouped.join(outer, ["rid", "group"]).groupBy("rid", "group").applyInPandas(_group_states, _STATES).select("rid", "chunk", "entry", "exit")
+    # a document of one group needs no weights from outside of it
+    inner = grouped.join(outer, ["rid", "group"], "left").repartition(tasks, "rid", "group")
+    return inner.groupBy("rid", "group").applyInPandas(_group_states, _STATES).select("rid", "chunk", "entry", "exit")
 
 
 def _round_trips(v: Vocabulary, ids: Sequence[np.ndarray], want: Sequence[bytes]) -> list[bool]:
