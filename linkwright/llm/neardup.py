@@ -12,6 +12,11 @@ large-star and small-star passes over distinct fingerprints.
 Defined results: null and empty texts have no words and fingerprint zero, linked like any other; texts of one
 or two words have one shingle; repeated rows each get their row; a null doc_id never names a component
 (component_id is null if all of them are null); an empty table gives no rows; further columns don't matter.
+
+keep_similar is the pipeline's stage: texts are linked if the Jaccard similarity of their sets of 5-word shingles is
+4/5 or more, exactly. In one order of all shingles (those that a sample finds in many texts last), two such sets share one of
+the first n - ceil(4n/5) + 1 shingles of each. Texts that share one there are candidates: first each with the least of its bucket,
+then, in buckets whose members aren't yet all connected, every pair of different components. Candidates are verified over whole sets.
 """
 
 from __future__ import annotations
@@ -22,7 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from linkwright.llm.batches import mixed, with_columns
+from linkwright.llm.quality import _SPACE, _VALUE, _bounded, _range_hashes
 from linkwright.llm.simhash import LOW, ascii_lower, hex64, positions, vote, words_of
 from linkwright.plans.staging import discard, staged
 
@@ -32,6 +41,12 @@ RADIUS = 3
 LIMIT = 2048
 #: Buckets of so many members yield all their links, larger ones a spanning forest.
 SMALL = 6
+#: Words of a shingle in keep_similar.
+WIDTH = 5
+#: Of one document in SAMPLE shingles are counted; those found OFTEN there, MOST at most, come last in the order of shingles.
+SAMPLE, OFTEN, MOST = 16, 8, 1 << 18
+#: Members of a crowded bucket that one task compares with as many others.
+CHUNK = 512
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -195,18 +210,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(rid, doc_id, fp, component_id), a row per row of docs. Copies are one fingerprint throughout; they meet their component in the last join."""
     found = staged(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     distinct = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    label = components(near_links(distinct, radius, limit))
+    return _with_component(found, distinct, components(near_links(distinct, radius, limit))).select("rid", "doc_id", "fp", "component_id")
+
+
+def _with_component(found: DataFrame, distinct: DataFrame, label: DataFrame) -> DataFrame:
+    """found (doc_id, fp, ...) with component_id, the least id of the component; distinct: (fp, first), label: of components."""
     nodes = label.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(label.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
     linked = nodes.join(distinct, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     joined = linked.join(least, "root").select("fp", "component_id")
     of_fp = distinct.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return found.join(of_fp, "fp").select("rid", "doc_id", "fp", "component_id")
+    return found.join(of_fp, "fp")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that of its least id; of repeated rows with that id, any one, whole."""
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, radius=radius)
+    return _least_of_each(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, radius=radius), id_col)
+
+
+def _least_of_each(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__rows"))
     kept = staged(kept.select("__keep", "__rows"), "kept")
     # as many ids as documents: never a side to broadcast, whatever the size of the corpus
@@ -217,6 +239,120 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return once.unionByName(out.filter("__rows > 1").select(*[f"`{c}`" for c in docs.columns]).dropDuplicates([id_col]))
 
 
+def _lowered(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower()
+
+
+def shingle_sets(texts: list[str], hot: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles (63-bit hashes) of all texts, text by text in the order of shingles, and how many each text has.
+
+    hot: the shingles that come last, in their order; all others come before them by hash.
+    """
+    n = len(texts)
+    raw = [_lowered(t) for t in texts]
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    offsets = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], ~_SPACE[data], [False]]).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    words = np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=n)
+    first_word = np.cumsum(words) - words
+    count = np.where(words > 0, np.maximum(words - width + 1, 1), 0)
+    of = np.repeat(np.arange(n), count)
+    begin = first_word[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    token = _range_hashes(_range_hashes(_VALUE[data], starts, ends), begin, begin + np.minimum(words, width)[of]) >> np.uint64(1)
+    key = token.copy()
+    if len(hot):
+        by_hash = np.argsort(hot)
+        at = np.minimum(np.searchsorted(hot[by_hash], token), len(hot) - 1)
+        last = hot[by_hash][at] == token
+        key[last] = np.uint64(1 << 63) + by_hash[at[last]].astype(np.uint64)
+    order = np.lexsort((key, of))
+    token, of = token[order], of[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (of[1:] != of[:-1])
+    return token[new], np.bincount(of[new], minlength=n)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, hot: np.ndarray, whole: bool) -> DataFrame:
+    """(doc_id, fp, n, shingles): a hash of each text's set, its size, and the first shingles of the set or all of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for begin, end in _bounded(texts):
+                token, n = shingle_sets(texts[begin:end], last)
+                ends = np.cumsum(n)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(token), dtype=np.uint64)])
+                fp = mixed(total[ends] - total[ends - n] + n.astype(np.uint64))
+                size = n if whole else np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+                place = np.arange(len(token)) - np.repeat(ends - n, n)
+                held = token[place < np.repeat(size, n)].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(held))
+                yield with_columns(batch.slice(begin, end - begin).select([0]), ["fp", "n", "shingles"], [pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64)), lists])
+
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([narrow.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    return narrow.mapInArrow(run, schema)
+
+
+def _frequent(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Shingles that many texts of a sample have, the rarest first. Which they are bears on the cost alone."""
+    some = docs.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(SAMPLE)) == 0)
+    sets = _sets(some, id_col, text_col, np.empty(0, np.uint64), True).dropDuplicates(["fp"])
+    often = sets.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    found = staged(often.orderBy(F.desc("n"), "token").limit(MOST), "frequent-shingles").orderBy("n", "token").toArrow()
+    return found.column("token").to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, owners: DataFrame) -> DataFrame:
+    """Staged (a, b): the pairs whose sets of shingles are 4/5 alike or more. owners: (fp, first), a document of each set."""
+    pairs = staged(pairs.distinct(), "candidates")
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    ids = owners.join(wanted, "fp").select(F.col("first").alias("__id"))
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    texts = own.join(ids.distinct().hint("merge"), own["__id"].eqNullSafe(ids["__id"]), "left_semi")
+    sets = _sets(texts, "__id", "__text", np.empty(0, np.uint64), True).dropDuplicates(["fp"]).select("fp", "n", "shingles")
+    sets = staged(sets, "shingles")
+    side = lambda x: sets.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}"))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    return staged(both.filter(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "similar")
+
+
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id), a row per row of docs: components of texts whose sets of 5-word shingles are 4/5 alike or more."""
+    found = staged(_sets(docs, id_col, text_col, _frequent(docs, id_col, text_col), False), "shingle-sets")
+    distinct = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("shingles").alias("shingles")), "distinct-sets")
+    owners = distinct.select("fp", "first")
+    bucket = Window.partitionBy("token")
+    posted = distinct.select("fp", "n", F.explode("shingles").alias("token"))
+    posted = posted.select("*", F.count(F.lit(1)).over(bucket).alias("size"), F.min(F.struct("n", "fp")).over(bucket).alias("least"))
+    posted = staged(posted.filter("size > 1"), "postings")
+    near = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+    first = posted.filter((F.col("fp") != F.col("least.fp")) & near(F.col("n"), F.col("least.n")))
+    links = _verified(first.select(F.greatest("fp", "least.fp").alias("a"), F.least("fp", "least.fp").alias("b")), docs, id_col, text_col, owners)
+    label = components(links)
+    nodes = label.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    placed = posted.filter("size > 2").join(nodes, "fp", "left").select("token", "size", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    split = placed.groupBy("token").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("token")
+    placed = placed.join(split, "token")
+    chunks = F.ceil(F.col("size") / CHUNK)
+    dealt = placed.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    dealt = dealt.select("token", F.least("chunk", "x").alias("lo"), F.greatest("chunk", "x").alias("hi"), "chunk", "fp", "n", "root")
+    other = dealt.select("token", "lo", "hi", *[F.col(c).alias(f"o_{c}") for c in ("chunk", "fp", "n", "root")])
+    pairs = dealt.join(other, ["token", "lo", "hi"]).filter("fp > o_fp and root <> o_root and (lo = hi or chunk <> o_chunk)").filter(near(F.col("n"), F.col("o_n")))
+    more = _verified(pairs.select(F.col("fp").alias("a"), F.col("o_fp").alias("b")), docs, id_col, text_col, owners)
+    if more.limit(1).count():
+        label = components(links.unionByName(more))
+    return _with_component(found.select("doc_id", "fp"), owners, label).select("doc_id", "fp", "component_id")
+
+
+def keep_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of similar(): that of its least id, as keep_one."""
+    return _least_of_each(docs, similar(docs, id_col=id_col, text_col=text_col), id_col)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")

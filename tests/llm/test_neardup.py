@@ -3,6 +3,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from linkwright.llm import neardup
 
 
@@ -86,3 +87,65 @@ def test_keep_one_and_edge_cases(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect()) == [(False, 3, "A b c d"), (False, 9, None), (True, 0, "z z z")]
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
     assert neardup.near_duplicates(docs).filter(F.col("doc_id") == 3).count() == 2
+
+
+def brute_similar(texts):
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * both >= 4 * all_:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def edited_texts():
+    """Copies with 1 to 9 words replaced, some of them below similarity 4/5, around one boilerplate that all texts share."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 7)))
+    shared = [word() for _ in range(14)]
+    texts = [None, "", "One", "ONE two", "one  TWO", "a b c d e", "a b c d e a b c d e"]
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(80, 260))] + shared
+        for edits in range(10):
+            changed = list(base)
+            for _ in range(edits):
+                changed[rng.randrange(len(base))] = word()
+            texts.append(" ".join(changed))
+    texts += [" ".join(shared + [word() for _ in range(k % 4)]) for k in range(25)]
+    return texts
+
+
+def test_keep_similar_finds_edited_copies_as_brute_force_does(spark, monkeypatch):
+    texts = edited_texts()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(5)
+    want = brute_similar(texts)
+    assert len(set(want)) < len(set(brute_components([brute_fingerprint(t) for t in texts]))) - 20
+    monkeypatch.setattr(neardup, "CHUNK", 7)
+    monkeypatch.setattr(neardup, "SAMPLE", 1)
+    monkeypatch.setattr(neardup, "OFTEN", 2)
+    assert {r.doc_id: r.component_id for r in neardup.similar(docs).collect()} == dict(enumerate(want))
+
+
+def test_keep_similar_on_repeated_rows_and_empty_tables(spark):
+    docs = spark.createDataFrame([(5, "a b c d", "q"), (3, "A b c d", None), (3, "A b c d", None), (None, "z z z", "w"), (9, None, "w"), (10, "", "w")], "doc_id long, text string, mix_copy string")
+    kept = neardup.keep_similar(docs)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect()) == [(False, 3, "A b c d"), (False, 9, None), (True, 0, "z z z")]
+    assert neardup.keep_similar(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_drops_edited_copies(spark, tmp_path):
+    texts = [t for t in edited_texts() if t]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == set(brute_similar(texts))
