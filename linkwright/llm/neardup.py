@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from linkwright.llm.batches import mixed, with_columns
 from linkwright.llm.quality import _SPACE, _VALUE, _bounded, _range_hashes
 from linkwright.llm.simhash import LOW, ascii_lower, hex64, positions, vote, words_of
-from linkwright.plans.staging import discard, staged
+from linkwright.plans.staging import broadcast_if_small, discard, staged
 
 SHINGLE = 3
 RADIUS = 3
@@ -47,6 +47,8 @@ WIDTH = 5
 SAMPLE, OFTEN, MOST = 16, 8, 1 << 18
 #: Members of a crowded bucket that one task compares with as many others.
 CHUNK = 512
+#: Bits of a set's sketch, each the parity of the shingles that fall on it: sets differ in as many shingles as their sketches do in bits, or more.
+SKETCH = 2048
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -274,7 +276,7 @@ def shingle_sets(texts: list[str], hot: np.ndarray, width: int = WIDTH) -> tuple
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, hot: np.ndarray, whole: bool) -> DataFrame:
-    """(doc_id, fp, n, shingles): a hash of each text's set, its size, and the first shingles of the set or all of them."""
+    """(doc_id, fp, n, shingles, sketch): a hash of each text's set, its size, its first shingles and its sketch, or all shingles and no sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +292,15 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, hot: np.ndarray, whole: b
                 place = np.arange(len(token)) - np.repeat(ends - n, n)
                 held = token[place < np.repeat(size, n)].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(held))
-                yield with_columns(batch.slice(begin, end - begin).select([0]), ["fp", "n", "shingles"], [pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64)), lists])
+                bits = np.zeros((0 if whole else len(n)) * SKETCH, np.uint8)
+                if not whole:
+                    np.bitwise_xor.at(bits, np.repeat(np.arange(len(n)), n) * SKETCH + (token & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                sketch = np.packbits(bits).view(np.int64)
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (0 if whole else SKETCH // 64), pa.int32()), pa.array(sketch))
+                yield with_columns(batch.slice(begin, end - begin).select([0]), ["fp", "n", "shingles", "sketch"], [pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64)), lists, sketches])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([narrow.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    schema = T.StructType([narrow.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("shingles", "sketch")]])
     return narrow.mapInArrow(run, schema)
 
 
@@ -307,26 +314,33 @@ def _frequent(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, owners: DataFrame) -> DataFrame:
-    """Staged (a, b): the pairs whose sets of shingles are 4/5 alike or more. owners: (fp, first), a document of each set."""
-    pairs = staged(pairs.distinct(), "candidates")
+    """Staged (a, b): the pairs whose sets of shingles are 4/5 alike or more. owners: (fp, first, n, sketch), a document of each set.
+
+    Sets 4/5 alike differ in at most a ninth of their joint size; pairs whose sketches differ in more bits are left out first.
+    """
+    known = lambda x: owners.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"))
+    bits = sum((F.bit_count(F.get("k_a", F.lit(i)).bitwiseXOR(F.get("k_b", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    possible = pairs.distinct().join(known("a"), "a").join(known("b"), "b").filter(9 * bits <= F.col("n_a") + F.col("n_b"))
+    pairs = staged(possible.select("a", "b", "n_a", "n_b"), "candidates")
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    ids = owners.join(wanted, "fp").select(F.col("first").alias("__id"))
-    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    texts = own.join(ids.distinct().hint("merge"), own["__id"].eqNullSafe(ids["__id"]), "left_semi")
-    sets = _sets(texts, "__id", "__text", np.empty(0, np.uint64), True).dropDuplicates(["fp"]).select("fp", "n", "shingles")
-    sets = staged(sets, "shingles")
-    side = lambda x: sets.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}"))
-    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-    return staged(both.filter(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "similar")
+    ids = staged(owners.join(wanted, "fp").select(F.col("first").alias("__id")).distinct(), "asked")
+    own = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text"))
+    texts = own.join(broadcast_if_small(ids), F.col("__own").eqNullSafe(F.col("__id")), "left_semi")
+    sets = staged(_sets(texts, "__own", "__text", np.empty(0, np.uint64), True).select("fp", "shingles"), "shingles")
+    side = lambda x: sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"s_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    out = staged(both.filter(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "similar")
+    for table in (sets, ids, pairs):
+        discard(table)
+    return out
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), a row per row of docs: components of texts whose sets of 5-word shingles are 4/5 alike or more."""
     found = staged(_sets(docs, id_col, text_col, _frequent(docs, id_col, text_col), False), "shingle-sets")
-    distinct = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("shingles").alias("shingles")), "distinct-sets")
-    owners = distinct.select("fp", "first")
+    owners = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "shingles", "sketch")]), "distinct-sets")
     bucket = Window.partitionBy("token")
-    posted = distinct.select("fp", "n", F.explode("shingles").alias("token"))
+    posted = owners.select("fp", "n", F.explode("shingles").alias("token"))
     posted = posted.select("*", F.count(F.lit(1)).over(bucket).alias("size"), F.min(F.struct("n", "fp")).over(bucket).alias("least"))
     posted = staged(posted.filter("size > 1"), "postings")
     near = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
@@ -345,7 +359,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     more = _verified(pairs.select(F.col("fp").alias("a"), F.col("o_fp").alias("b")), docs, id_col, text_col, owners)
     if more.limit(1).count():
         label = components(links.unionByName(more))
-    return _with_component(found.select("doc_id", "fp"), owners, label).select("doc_id", "fp", "component_id")
+    return _with_component(found.select("doc_id", "fp"), owners.select("fp", "first"), label).select("doc_id", "fp", "component_id")
 
 
 def keep_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
