@@ -37,13 +37,8 @@ class Inputs:
         s1, targets = self.sides()
         return staged(candidates.top_candidates(candidates.union_with_provenance(s1, targets)), "candidates"), s1, targets
 
-    def features(self, ascii_only: bool = False) -> DataFrame:
-        found, s1, targets = self.candidates()
-        if ascii_only:
-            # the oracle's Levenshtein distance is of bytes
-            plain = lambda df: df.filter(" and ".join(f"length({c}) = octet_length({c})" for c in ("name.core_name", "address.cleaned")))
-            s1, targets = plain(s1), plain(targets)
-        return features.pair_features(found, s1, targets)
+    def features(self) -> DataFrame:
+        return features.pair_features(*self.candidates())
 
     def truth_lines(self) -> DataFrame:
         matched = self.truth.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_list("target_id")), ",").alias("matched"))
@@ -79,8 +74,8 @@ def _block(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(*Inputs(spark, d).sides())
 
 
-def _rounded(columns: list[str], ascii_only: bool = False) -> Query:
-    return lambda spark, d: Inputs(spark, d).features(ascii_only).select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in columns if c != "name_token_sort_ratio"])
+def _rounded(columns: list[str]) -> Query:
+    return lambda spark, d: Inputs(spark, d).features().select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in columns if c != "name_token_sort_ratio"])
 
 
 def _token_sort(spark: SparkSession, d: str) -> DataFrame:
@@ -112,14 +107,14 @@ def _entity_f05(predicted: DataFrame, truth: DataFrame, asked: DataFrame) -> Dat
     return each.select("s1_id", "n_pred", "n_gt", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f05")])
 
 
-def _fixed_scores(inputs: Inputs, ascii_only: bool = False) -> DataFrame:
+def _fixed_scores(inputs: Inputs) -> DataFrame:
     """For queries without a trained model: the harmonic similarity stands for a probability."""
-    return inputs.features(ascii_only).select("s1_id", "target_id", F.round("harmonic_sim", 6).alias("prob"))
+    return inputs.features().select("s1_id", "target_id", F.round("harmonic_sim", 6).alias("prob"))
 
 
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
     inputs = Inputs(spark, d)
-    return evaluation.threshold_sweep(_fixed_scores(inputs, ascii_only=True), inputs.truth, inputs.asked)
+    return evaluation.threshold_sweep(_fixed_scores(inputs), inputs.truth, inputs.asked)
 
 
 def _target_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -188,14 +183,14 @@ QUERIES: dict[str, Query] = {
     "controlled_recall": lambda s, d: (lambda i: controlled_recall(i.records, i.truth, 50))(Inputs(s, d)),
     "sim_jaccard": _rounded(["name_token_jaccard", "addr_token_jaccard", "name_char_jaccard"]),
     "sim_overlap": _rounded(["name_token_overlap", "addr_token_overlap"]),
-    "sim_levenshtein": _rounded(["name_levenshtein", "addr_levenshtein"], ascii_only=True),
-    "sim_jaro_winkler": _rounded(["name_jaro_winkler"], ascii_only=True),
+    "sim_levenshtein": _rounded(["name_levenshtein", "addr_levenshtein"]),
+    "sim_jaro_winkler": _rounded(["name_jaro_winkler"]),
     "sim_prefix": _rounded(["name_prefix_sim"]),
     "sim_token_sort": _token_sort,
-    "features_name": _rounded(features.NAME, ascii_only=True),
-    "features_address": _rounded(features.ADDRESS, ascii_only=True),
-    "features_interaction": _rounded(features.INTERACTION, ascii_only=True),
-    "features_all": _rounded(features.ALL, ascii_only=True),
+    "features_name": _rounded(features.NAME),
+    "features_address": _rounded(features.ADDRESS),
+    "features_interaction": _rounded(features.INTERACTION),
+    "features_all": _rounded(features.ALL),
     "match_semi_subset": _with_candidates(lambda i, found, s1, targets: _baseline(s1, targets).join(found, ["s1_id", "target_id"], "left_semi")),
     "missed_positives_anti": _with_candidates(lambda i, found, s1, targets: training.missed_positives(found, i.truth, targets)),
     "split_train_val": lambda s, d: training.split(Inputs(s, d).asked),
@@ -216,5 +211,5 @@ QUERIES: dict[str, Query] = {
     "write_matching_format": _written,
     "validate_subset": _with_candidates(_validated),
     "score_matches": _score_matches,
-    "resolve_fixed_scorer": lambda s, d: model.decide(_fixed_scores(Inputs(s, d), ascii_only=True), 0.5),
+    "resolve_fixed_scorer": lambda s, d: model.decide(_fixed_scores(Inputs(s, d)), 0.5),
 }
