@@ -33,12 +33,13 @@ class Inputs:
     def sides(self) -> tuple[DataFrame, DataFrame]:
         return blocking.sides(staged(entities_normalized(self.records), "records"))
 
-    def candidates(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def candidates(self, enable_tfidf: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """All four strategies, as the reference evaluates and trains; its inference alone leaves TF-IDF out."""
         s1, targets = self.sides()
-        return staged(candidates.top_candidates(candidates.union_with_provenance(s1, targets)), "candidates"), s1, targets
+        return staged(candidates.top_candidates(candidates.union_with_provenance(s1, targets, enable_tfidf)), "candidates"), s1, targets
 
-    def features(self) -> DataFrame:
-        return features.pair_features(*self.candidates())
+    def features(self, enable_tfidf: bool = True) -> DataFrame:
+        return features.pair_features(*self.candidates(enable_tfidf))
 
     def truth_lines(self) -> DataFrame:
         matched = self.truth.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_list("target_id")), ",").alias("matched"))
@@ -107,9 +108,9 @@ def _entity_f05(predicted: DataFrame, truth: DataFrame, asked: DataFrame) -> Dat
     return each.select("s1_id", "n_pred", "n_gt", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f05")])
 
 
-def _fixed_scores(inputs: Inputs) -> DataFrame:
+def _fixed_scores(inputs: Inputs, enable_tfidf: bool = True) -> DataFrame:
     """For queries without a trained model: the harmonic similarity stands for a probability."""
-    return inputs.features().select("s1_id", "target_id", F.round("harmonic_sim", 6).alias("prob"))
+    return inputs.features(enable_tfidf).select("s1_id", "target_id", F.round("harmonic_sim", 6).alias("prob"))
 
 
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -176,11 +177,11 @@ QUERIES: dict[str, Query] = {
     "tfidf_weights": _sides_weights,
     "block_tfidf_topk": _block(lambda a, b: blocking.by_similarity(a, b).withColumn("similarity", F.round("similarity", 6))),
     "baseline_exact_join": _block(_baseline),
-    "candidate_union_provenance": _block(candidates.union_with_provenance),
+    "candidate_union_provenance": _block(lambda a, b: candidates.union_with_provenance(a, b, enable_tfidf=True)),
     "candidate_topk": _with_candidates(lambda i, found, s1, targets: found),
     "candidate_recall": _with_candidates(lambda i, found, s1, targets: candidates.recall(found, i.truth, i.asked, targets)),
     "recall_by_strategy": _with_candidates(lambda i, found, s1, targets: candidates.recall_by_strategy(found, i.truth)),
-    "controlled_recall": lambda s, d: (lambda i: controlled_recall(i.records, i.truth, 50))(Inputs(s, d)),
+    "controlled_recall": lambda s, d: (lambda i: controlled_recall(i.records, i.truth, 50, enable_tfidf=True))(Inputs(s, d)),
     "sim_jaccard": _rounded(["name_token_jaccard", "addr_token_jaccard", "name_char_jaccard"]),
     "sim_overlap": _rounded(["name_token_overlap", "addr_token_overlap"]),
     "sim_levenshtein": _rounded(["name_levenshtein", "addr_levenshtein"]),
@@ -211,5 +212,5 @@ QUERIES: dict[str, Query] = {
     "write_matching_format": _written,
     "validate_subset": _with_candidates(_validated),
     "score_matches": _score_matches,
-    "resolve_fixed_scorer": lambda s, d: model.decide(_fixed_scores(Inputs(s, d)), 0.5),
+    "resolve_fixed_scorer": lambda s, d: model.decide(_fixed_scores(Inputs(s, d), enable_tfidf=False), 0.5),
 }
