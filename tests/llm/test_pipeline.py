@@ -80,3 +80,12 @@ def test_pipeline_on_an_empty_table(spark, tmp_path, extra):
 def test_stages_name_five_operators():
     assert [f for _, f in corpus_pipeline.STAGES] == [corpus_pipeline.quality_rules, corpus_pipeline.language_id, corpus_pipeline.near_duplicates, corpus_pipeline.source_mixture, corpus_pipeline.sentencepiece]
     assert corpus_pipeline.ORACLE_SQL is None and mixing.MAX_REPEAT == 3
+
+
+def test_language_stage_learns_from_every_row(spark, tmp_path):
+    from zlib import crc32
+
+    held = [i for i in range(60) if crc32(str(i).encode()) % 3 == 1][:6]
+    rows = [(i, "жёлтый лист дерево парк река " * 8, "ru") for i in held] + [(i, "green river trading north road " * 8, "en") for i in range(100, 110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.lang) for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()} == {(i, lang) for i, _, lang in rows}
