@@ -141,5 +141,13 @@ def by_label(labels: Sequence[str]) -> dict[str, list[int]]:
     return out
 
 
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """name, with underscores after it until it is none of those taken in any case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def with_columns(batch: pa.RecordBatch, names: Sequence[str], arrays: Sequence[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from linkwright.llm.batches import mixed, with_columns
-from linkwright.llm.quality import _SPACE, _VALUE, _bounded, _range_hashes
+from linkwright.llm.quality import _SPACE, _bounded, _range_hashes
 from linkwright.llm.simhash import LOW, ascii_lower, hex64, positions, vote, words_of
 from linkwright.plans.staging import broadcast_if_small, discard, staged
 
@@ -261,7 +261,7 @@ def shingle_sets(texts: list[str], hot: np.ndarray, width: int = WIDTH) -> tuple
     count = np.where(words > 0, np.maximum(words - width + 1, 1), 0)
     of = np.repeat(np.arange(n), count)
     begin = first_word[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    token = _range_hashes(_range_hashes(_VALUE[data], starts, ends), begin, begin + np.minimum(words, width)[of]) >> np.uint64(1)
+    token = _range_hashes(_range_hashes(data, starts, ends), begin, begin + np.minimum(words, width)[of]) >> np.uint64(1)
     key = token.copy()
     if len(hot):
         by_hash = np.argsort(hot)

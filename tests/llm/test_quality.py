@@ -83,7 +83,7 @@ def brute_kneser_ney(texts):
 def test_model_matches_brute_force_and_sums_to_one(spark):
     texts = [t for t in some_texts() if t]
     docs = spark.createDataFrame([(i, t, "xx", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, key int").repartition(3)
-    model, brute = Q.Model.fit(docs), brute_kneser_ney(texts)
+    model, brute = Q.Model.of(Q.kneser_ney(Q.count_trigrams(docs, "lang", "text"))), brute_kneser_ney(texts)
     rng = random.Random(0)
     chars = sorted({ord(c) for t in texts for c in t})
     grams = [tuple(rng.choice([*chars, PAD, 0x4E01]) for _ in range(2)) + (rng.choice([*chars, 0x4E01]),) for _ in range(400)] + [tuple(map(ord, "one")), tuple(map(ord, " tw"))]
