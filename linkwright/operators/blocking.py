@@ -1,22 +1,29 @@
 """Candidate generation as joins. Records are normalized (operators.normalize.entities_normalized); the left side asks, the right one is indexed.
 
 Exact keys join as they are and leave hot keys to Spark's skew join; posting lists are capped in order of (source,
-ingest_seq), which is a rank limit that Spark applies before its shuffle too; the similarity join meets on the rarest
-grams alone and verifies in full.
+ingest_seq), which is a rank limit that Spark applies before its shuffle too; the similarity join runs block against block
+over arrays, with bounds on what is left of either vector.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkwright.functions.tables import COMMON_TOKENS
+from linkwright.plans.staging import staged
 
 TOKEN_POSTINGS = 150
 ADDRESS_POSTINGS = 100
 MIN_SIMILARITY = 0.25
 TOP_K = 20
+#: Records of a block of either side: a cell holds some 1 KB for each of them.
+ASK_BLOCK, TARGET_BLOCK = 1 << 14, 1 << 16
+#: Products are added up while the tails of both vectors could share so much; SLACK covers rounding.
+FAR_TAIL, SLACK = 0.05, 1e-9
 
 
 def sides(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,35 +117,115 @@ def _grams(df: DataFrame, *by: str) -> DataFrame:
     return padded.select(*by, "id", F.explode(grams).alias("gram")).groupBy(*by, "id", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_weights(s1: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, gram, weight) of either side, unit vectors; document frequencies are those of the targets."""
-    mine, theirs = _grams(s1), _grams(targets)
+def _weighted(s1: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, gram, weight, number, idf) of either side: unit vectors, grams numbered. Document frequencies are those of the targets."""
+    mine, theirs = staged(_grams(s1), "grams"), staged(_grams(targets), "target-grams")
     total = targets.agg(F.count(F.lit(1)).alias("n"))
-    idf = theirs.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    found = theirs.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))
+    idf = staged(found.select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")).withColumn("number", F.monotonically_increasing_id()), "idf")
 
     def unit(grams: DataFrame) -> DataFrame:
         raw = grams.join(idf, "gram").withColumn("weight", (1 + F.log("tf")) * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
-        return raw.select("id", "gram", (F.col("weight") / norm).alias("weight"), "idf")
+        return raw.select("id", "gram", (F.col("weight") / norm).alias("weight"), "number", "idf")
 
     return unit(mine), unit(theirs)
 
 
+def tfidf_weights(s1: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, gram, weight) of either side, unit vectors; document frequencies are those of the targets."""
+    return tuple(df.select("id", "gram", "weight") for df in _weighted(s1, targets))
+
+
+def _vectors(weighted: DataFrame) -> DataFrame:
+    """(id, number, weight): parallel arrays, the rarest grams first."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("common"), "number", "weight")))
+    return weighted.groupBy("id").agg(ordered.alias("v")).select("id", F.col("v.number").alias("number"), F.col("v.weight").alias("weight"))
+
+
+def _cell(least: float, top_k: int):
+    """Asking vectors and target vectors of one cell -> (s1_id, target_id, similarity), the top_k of each asking one.
+
+    Let h(g) be the norm of a vector from its gram g on, the rarest grams first. What two vectors share from g on adds up to
+    h(g) h'(g) at most, so a pair whose first shared gram has less than least there is none. Postings of a gram come with the largest h' first,
+    so both that cut and the one at FAR_TAIL, up to which products are added up, are prefixes of them. Pairs that could
+    still reach least are then added up in full.
+    """
+
+    def flat(table: pa.Table) -> tuple[np.ndarray, ...]:
+        number, weight = table.column("number").combine_chunks(), table.column("weight").combine_chunks()
+        ends = number.offsets.to_numpy().astype(np.int64)
+        n, w = number.flatten().to_numpy(), weight.flatten().to_numpy()
+        sizes = np.diff(ends)
+        squares = np.concatenate([[0.0], np.cumsum(w * w)])
+        rest = np.sqrt(np.maximum(np.repeat(squares[ends[1:] - ends[0]], sizes) - squares[:-1], 0.0))
+        return n, w, rest, ends - ends[0], np.repeat(np.arange(len(sizes)), sizes)
+
+    def match(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        out = []
+        if mine.num_rows and theirs.num_rows:
+            known, of = mine.column("id").to_pylist(), np.array(theirs.column("id").to_pylist(), object)
+            by_id = np.argsort(np.argsort(of))
+            n, w, h, ends, doc = flat(theirs)
+            grams, gram = np.unique(n, return_inverse=True)
+            by_gram = np.lexsort((-h, gram))
+            posted, down, value = doc[by_gram], -h[by_gram], w[by_gram]
+            starts = np.searchsorted(gram[by_gram], np.arange(len(grams) + 1))
+            asked_n, asked_w, asked_h, asked_ends, _ = flat(mine)
+            at = np.minimum(np.searchsorted(grams, asked_n), len(grams) - 1)
+            there = grams[at] == asked_n
+            partial, dense = np.zeros(len(of)), np.zeros(len(grams))
+            near = np.zeros(len(of), bool)
+            for k in range(len(known)):
+                own = np.arange(asked_ends[k], asked_ends[k + 1])
+                own = own[there[own]]
+                partial[:], near[:] = 0, False
+                for i in own:
+                    low, high = starts[at[i]], starts[at[i] + 1]
+                    reach = down[low:high]
+                    far = low + np.searchsorted(reach, -(FAR_TAIL - SLACK) / asked_h[i], "right")
+                    partial[posted[low:far]] += asked_w[i] * value[low:far]
+                    near[posted[low : low + np.searchsorted(reach, -(least - SLACK) / asked_h[i], "right")]] = True
+                some = np.flatnonzero(near & (partial >= least - FAR_TAIL - SLACK))
+                if not len(some):
+                    continue
+                dense[at[own]] = asked_w[own]
+                sizes = ends[some + 1] - ends[some]
+                each = np.repeat(ends[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                exact = np.round(np.add.reduceat(dense[gram[each]] * w[each], np.cumsum(sizes) - sizes), 9)
+                dense[at[own]] = 0
+                good = exact >= least
+                some, exact = some[good], exact[good]
+                best = np.lexsort((by_id[some], -exact))[:top_k]
+                out.append((known[k], of[some[best]], exact[best]))
+        ids = [x for x, found, _ in out for _ in found]
+        return pa.table({"s1_id": pa.array(ids, pa.string()), "target_id": pa.array([t for _, found, _ in out for t in found], pa.string()), "similarity": pa.array(np.concatenate([s for *_, s in out]) if out else [], pa.float64())})
+
+    return match
+
+
 def by_similarity(s1: DataFrame, targets: DataFrame, min_similarity: float = MIN_SIMILARITY, top_k: int = TOP_K) -> DataFrame:
     """(s1_id, target_id, similarity): cosine of at least min_similarity, the top_k of each s1_id.
 
-    Candidates share one of the rarest grams of the asking side: the common rest, whose norm is below
-    min_similarity, can't reach it on its own. All grams of a candidate are then added up.
+    Either side is cut into blocks of bounded size; each pair of blocks is a cell, one task that holds an index of its
+    targets and gives top_k rows per asking record at most. Candidate pairs live in arrays of a cell and are never rows.
     """
-    mine, theirs = tfidf_weights(s1, targets)
-    common_first = Window.partitionBy("id").orderBy("idf", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rare = mine.withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(common_first)).filter(F.col("rest") >= (min_similarity - 1e-9) ** 2)
-    met = rare.select(F.col("id").alias("s1_id"), "gram").join(theirs.select("gram", F.col("id").alias("target_id")), "gram").select("s1_id", "target_id").distinct()
-    x = mine.select(F.col("id").alias("s1_id"), "gram", F.col("weight").alias("x"))
-    y = theirs.select(F.col("id").alias("target_id"), "gram", F.col("weight").alias("y"))
-    scored = met.join(x, "s1_id").join(y, ["target_id", "gram"]).groupBy("s1_id", "target_id").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("similarity"))
+    mine, theirs = (staged(_vectors(df), "vectors") for df in _weighted(s1, targets))
+    asking, indexed = mine.count(), theirs.count()
+    tasks = mine.sparkSession.sparkContext.defaultParallelism
+    lines = max(1, -(-asking // ASK_BLOCK), min(tasks, asking // 64))
+    blocks = max(1, -(-indexed // TARGET_BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = mine.withColumn("line", block(lines)).withColumn("block", every(blocks))
+    right = theirs.withColumn("block", block(blocks)).withColumn("line", every(lines))
+    # cells are few and heavy: they are dealt one by one, not put together by their bytes
+    cells = lambda df: df.repartition(lines * blocks, "line", "block").groupBy("line", "block")
+    found = cells(left).cogroup(cells(right)).applyInArrow(lambda a, b: _cell(min_similarity, top_k)(a, b), "s1_id string, target_id string, similarity double")
+    if blocks == 1:
+        return found
     best = Window.partitionBy("s1_id").orderBy(F.desc("similarity"), "target_id")
-    return scored.filter(F.col("similarity") >= min_similarity).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top_k).drop("r")
+    return found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top_k).drop("r")
 
 
 def baseline_exact(s1: DataFrame, targets: DataFrame) -> DataFrame:

@@ -96,18 +96,20 @@ _POSTAL = "CASE WHEN NOT a_empty AND postal <> '' AND core <> '' THEN postal ||
 _STREET = r"CASE WHEN regexp_full_match(a_tokens[1], '\d+') THEN a_tokens[2] ELSE a_tokens[1] END"
 _BUILDING = f"CASE WHEN NOT a_empty AND building <> '' AND len(a_tokens) >= 2 AND length({_STREET}) >= 3 THEN building || '|' || {_STREET} END"
 BLOCKS |= {"postal": _address_block(_POSTAL), "building": _address_block(_BUILDING)}
-CANDIDATES = f"""ce AS ({BLOCKS['core']} UNION {BLOCKS['sorted']} UNION {BLOCKS['alnum']}), ct AS ({BLOCKS['token']}), ca AS ({BLOCKS['postal']} UNION {BLOCKS['building']}),
-cu AS (SELECT s1_id, target_id, max(x) = 1 AS gen_exact, max(t) = 1 AS gen_token, false AS gen_tfidf, max(d) = 1 AS gen_address, CAST(max(x) + max(t) + max(d) AS INTEGER) AS gen_count
-  FROM (SELECT *, 1 AS x, 0 AS t, 0 AS d FROM ce UNION ALL SELECT *, 0, 1, 0 FROM ct UNION ALL SELECT *, 0, 0, 1 FROM ca) GROUP BY s1_id, target_id)"""
-ORDER = "gen_count DESC, gen_exact DESC, gen_token DESC, gen_tfidf DESC, target_id"
-TOP = f"ck AS (SELECT * FROM cu QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY {ORDER}) <= 45)"
 GRAMS = r"""gr AS (SELECT id, source, gram, count(*) AS tf FROM (SELECT entity_id AS id, source, unnest(CASE WHEN length(w) <= 3 THEN [w] ELSE list_concat([substr(w, i, 3) FOR i IN range(1, length(w) - 1)], [substr(w, i, 4) FOR i IN range(1, greatest(length(w) - 2, 2))]) END) AS gram
-  FROM (SELECT entity_id, source, ' ' || unnest([x FOR x IN regexp_split_to_array(lower(core || ' ' || a_cleaned), '\s+') IF x <> '']) || ' ' AS w FROM a)) GROUP BY ALL),
+  FROM (SELECT entity_id, source, ' ' || unnest([x FOR x IN regexp_split_to_array(lower(core || ' ' || a_cleaned), '\s+') IF x <> '']) || ' ' AS w FROM (SELECT * FROM s1 UNION ALL SELECT * FROM tg))) GROUP BY ALL),
 df AS (SELECT gram, ln((1 + (SELECT count(*) FROM tg)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM gr WHERE source > 1 GROUP BY gram),
 ww AS (SELECT id, source, gram, (1 + ln(tf)) * idf AS raw FROM gr JOIN df USING (gram)),
 wt AS (SELECT id, source, gram, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM ww)"""
-
-
+SIMILAR = f"""{GRAMS}, sm AS (SELECT x.id AS s1_id, y.id AS target_id, round(sum(x.weight * y.weight), 9) AS similarity FROM wt x JOIN wt y USING (gram) WHERE x.source = 1 AND y.source > 1 GROUP BY ALL),
+cs AS (SELECT * FROM sm WHERE similarity >= 0.25 QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY similarity DESC, target_id) <= 20)"""
+CANDIDATES = f"""ce AS ({BLOCKS['core']} UNION {BLOCKS['sorted']} UNION {BLOCKS['alnum']}), ct AS ({BLOCKS['token']}), ca AS ({BLOCKS['postal']} UNION {BLOCKS['building']}),
+{SIMILAR}, cu AS (SELECT s1_id, target_id, max(x) = 1 AS gen_exact, max(t) = 1 AS gen_token, max(f) = 1 AS gen_tfidf, max(d) = 1 AS gen_address, CAST(max(x) + max(t) + max(f) + max(d) AS INTEGER) AS gen_count
+  FROM (SELECT *, 1 AS x, 0 AS t, 0 AS f, 0 AS d FROM ce UNION ALL SELECT *, 0, 1, 0, 0 FROM ct UNION ALL SELECT s1_id, target_id, 0, 0, 1, 0 FROM cs UNION ALL SELECT *, 0, 0, 0, 1 FROM ca) GROUP BY s1_id, target_id)"""
+#: The inference form leaves the similarity join out.
+FEWER = CANDIDATES.replace(f"{SIMILAR}, ", "").replace("UNION ALL SELECT s1_id, target_id, 0, 0, 1, 0 FROM cs ", "")
+ORDER = "gen_count DESC, gen_exact DESC, gen_token DESC, gen_tfidf DESC, target_id"
+TOP = f"ck AS (SELECT * FROM cu QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY {ORDER}) <= 45)"
 def _jaccard(a: str, b: str) -> str:
     both = f"len(list_intersect({a}, {b}))"
     return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE {both}::DOUBLE / (len(list_distinct({a})) + len(list_distinct({b})) - {both}) END"
@@ -117,12 +119,17 @@ def _overlap(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / least(len(list_distinct({a})), len(list_distinct({b}))) END"
 
 
+def _bytes(x: str, a: str, b: str) -> str:
+    """x with each character of the pair as a byte of its own: DuckDB's distances are of bytes, and only ask which are equal."""
+    return f"CASE WHEN length({a} || {b}) = strlen({a} || {b}) THEN {x} ELSE array_to_string([chr(CAST(list_position(list_distinct(string_split({a} || {b}, '')), c) AS INTEGER)) FOR c IN string_split({x}, '')], '') END"
+
+
 def _lev(a: str, b: str) -> str:
-    return f"CASE WHEN {a} = '' AND {b} = '' THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END"
+    return f"CASE WHEN {a} = '' AND {b} = '' THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 1 - levenshtein({_bytes(a, a, b)}, {_bytes(b, a, b)})::DOUBLE / greatest(length({a}), length({b})) END"
 
 
 def _jw(a: str, b: str) -> str:
-    return f"CASE WHEN {a} = '' AND {b} = '' THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE jaro_winkler_similarity({a}, {b}) END"
+    return f"CASE WHEN {a} = '' AND {b} = '' THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE jaro_winkler_similarity({_bytes(a, a, b)}, {_bytes(b, a, b)}) END"
 
 
 def _prefix(a: str, b: str) -> str:
@@ -146,17 +153,19 @@ def _agree(c: str) -> str:
 
 ADDRESS_SQL = ["0.0", "0.0", _eq("a_cleaned"), _eq("a_sorted"), _eq("a_alnum"), _jaccard("l.a_tokens", "r.a_tokens"), _overlap("l.a_tokens", "r.a_tokens"), "len(list_intersect(l.a_tokens, r.a_tokens))::DOUBLE", _lev("l.a_cleaned", "r.a_cleaned"), "len(list_intersect(l.a_num, r.a_num))::DOUBLE", _agree("postal"), _agree("building"), _gap("l.a_cleaned", "r.a_cleaned")]
 INTERACTION_SQL = ["name_levenshtein * addr_levenshtein", "(name_levenshtein + addr_levenshtein) / 2", "name_token_jaccard * addr_token_jaccard", "2 * name_levenshtein * addr_levenshtein / (name_levenshtein + addr_levenshtein + 1e-6)", "name_exact_clean * addr_exact_clean", "abs(name_levenshtein - addr_levenshtein)", "CAST(ckey_l = ckey_r AS DOUBLE)"]
-#: Levenshtein distances of DuckDB are of bytes: features are compared where both core names and addresses are ASCII.
-ASCII = "length(l.core) = strlen(l.core) AND length(r.core) = strlen(r.core) AND length(l.a_cleaned) = strlen(l.a_cleaned) AND length(r.a_cleaned) = strlen(r.a_cleaned)"
 PAIRS = "FROM ck JOIN s1 l ON l.entity_id = ck.s1_id JOIN tg r ON r.entity_id = ck.target_id"
-_HAVE_NAME = [(n, s) for n, s in zip(NAME, NAME_SQL, strict=True) if s]
-FN = "fn AS (SELECT s1_id, target_id, l.ckey AS ckey_l, r.ckey AS ckey_r, gen_exact, gen_token, gen_tfidf, gen_address, gen_count, " + ", ".join(f"{s} AS {n}" for n, s in _HAVE_NAME) + ", " + ", ".join(f"CASE WHEN l.a_empty AND r.a_empty THEN {x}::DOUBLE WHEN l.a_empty OR r.a_empty THEN {y}::DOUBLE ELSE {s} END AS {n}" for n, s, x, y in zip(ADDRESS, ADDRESS_SQL, BOTH_EMPTY, ONE_EMPTY, strict=True)) + f" {PAIRS})"
+#: Longest common subsequence: a row of the table per character of the one text, from the row before by a running maximum.
+_STEP = "[list_max([greatest(acc[k], CASE WHEN y[k] = chr(x[1]) THEN coalesce(acc[k - 1], 0) + 1 ELSE 0 END) FOR k IN range(1, j + 1)]) FOR j IN range(1, length(y) + 1)]"
+SORTED = f"""st AS (SELECT s1_id, target_id, array_to_string(list_sort([t FOR t IN string_split(l.cleaned, ' ') IF t <> '']), ' ') AS x_, array_to_string(list_sort([t FOR t IN string_split(r.cleaned, ' ') IF t <> '']), ' ') AS y {PAIRS}),
+lc AS (SELECT s1_id, target_id, x_, y, CASE WHEN x_ = '' OR y = '' THEN 0 ELSE list_last(list_reduce([[unicode(c)] FOR c IN string_split(x_, '')], lambda acc, x: {_STEP}, [0 FOR k IN range(1, length(y) + 1)])) END AS n FROM st)"""
+TOKEN_SORT = "CASE WHEN x_ = '' AND y = '' THEN 1.0 ELSE 2 * n::DOUBLE / greatest(length(x_) + length(y), 1) END"
+FN = f"{SORTED}, fn AS (SELECT ck.s1_id, ck.target_id, l.ckey AS ckey_l, r.ckey AS ckey_r, gen_exact, gen_token, gen_tfidf, gen_address, gen_count, " + ", ".join(f"{s or TOKEN_SORT} AS {n}" for n, s in zip(NAME, NAME_SQL, strict=True)) + ", " + ", ".join(f"CASE WHEN l.a_empty AND r.a_empty THEN {x}::DOUBLE WHEN l.a_empty OR r.a_empty THEN {y}::DOUBLE ELSE {s} END AS {n}" for n, s, x, y in zip(ADDRESS, ADDRESS_SQL, BOTH_EMPTY, ONE_EMPTY, strict=True)) + f" {PAIRS} JOIN lc ON lc.s1_id = ck.s1_id AND lc.target_id = ck.target_id)"
 FI = "fi AS (SELECT *, " + ", ".join(f"{s} AS {n}" for n, s in zip(INTERACTION, INTERACTION_SQL, strict=True)) + " FROM fn)"
 FEATURES = f"{FN}, {FI}"
 
 
 def _rounded(names: list[str]) -> str:
-    return ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names if n != "name_token_sort_ratio")
+    return ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names)
 
 
 def _counts(pred: str) -> str:
@@ -208,12 +217,6 @@ _c = _clean("business_name")
 _LIST = "array_to_string({}, '|')"
 
 
-#: Longest common subsequence: a row of the table per character of the one text, from the row before by a running maximum.
-_STEP = "[list_max([greatest(acc[k], CASE WHEN y[k] = chr(x[1]) THEN coalesce(acc[k - 1], 0) + 1 ELSE 0 END) FOR k IN range(1, j + 1)]) FOR j IN range(1, length(y) + 1)]"
-SORTED = f"""st AS (SELECT s1_id, target_id, array_to_string(list_sort([t FOR t IN string_split(l.cleaned, ' ') IF t <> '']), ' ') AS x_, array_to_string(list_sort([t FOR t IN string_split(r.cleaned, ' ') IF t <> '']), ' ') AS y {PAIRS}),
-lc AS (SELECT s1_id, target_id, x_, y, CASE WHEN x_ = '' OR y = '' THEN 0 ELSE list_last(list_reduce([[unicode(c)] FOR c IN string_split(x_, '')], lambda acc, x: {_STEP}, [0 FOR k IN range(1, length(y) + 1)])) END AS n FROM st)"""
-
-
 def sql() -> dict[str, str]:
     r, out = RECORDS, {}
     out["entities"] = f"WITH {E} SELECT * FROM e"
@@ -235,7 +238,7 @@ def sql() -> dict[str, str]:
         out[name] = f"{r} {BLOCKS[key]}"
     out["block_exact_union"] = f"{r} {BLOCKS['core']} UNION {BLOCKS['sorted']} UNION {BLOCKS['alnum']}"
     out["tfidf_weights"] = f"{r}, {GRAMS} SELECT id, gram, round(weight, 6) AS weight FROM wt WHERE source > 1"
-    out["block_tfidf_topk"] = f"{r}, {GRAMS}, sm AS (SELECT x.id AS s1_id, y.id AS target_id, round(sum(x.weight * y.weight), 9) AS similarity FROM wt x JOIN wt y USING (gram) WHERE x.source = 1 AND y.source > 1 GROUP BY ALL) SELECT s1_id, target_id, round(similarity, 6) AS similarity FROM sm WHERE similarity >= 0.25 QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY similarity DESC, target_id) <= 20"
+    out["block_tfidf_topk"] = f"{r}, {SIMILAR} SELECT s1_id, target_id, round(similarity, 6) AS similarity FROM cs"
     out["baseline_exact_join"] = f"{r}, {BASE} SELECT * FROM bl"
     cand = f"{r}, {TRUTH}, {CANDIDATES}, {TOP}"
     out["candidate_union_provenance"] = f"{r}, {CANDIDATES} SELECT * FROM cu"
@@ -249,12 +252,8 @@ SELECT total_s1, total_gt_pairs, recalled_gt_pairs, round(recalled_gt_pairs::DOU
     kinds = " UNION ALL ".join(f"SELECT '{k}' AS strategy, {c} AS on_, s1_id, target_id FROM ck" for k, c in (("union", "true"), ("exact", "gen_exact"), ("token", "gen_token"), ("tfidf", "gen_tfidf"), ("address", "gen_address")))
     out["recall_by_strategy"] = f"{cand}, ks AS ({kinds}) SELECT strategy, count(*) FILTER (on_) AS candidates, count(gt.s1_id) FILTER (on_) AS recalled FROM ks LEFT JOIN gt USING (s1_id, target_id) GROUP BY strategy"
     feat = f"{cand}, {FEATURES}"
-    for name, cols in (("sim_jaccard", ["name_token_jaccard", "addr_token_jaccard", "name_char_jaccard"]), ("sim_overlap", ["name_token_overlap", "addr_token_overlap"]), ("sim_prefix", ["name_prefix_sim"])):
+    for name, cols in (("sim_jaccard", ["name_token_jaccard", "addr_token_jaccard", "name_char_jaccard"]), ("sim_overlap", ["name_token_overlap", "addr_token_overlap"]), ("sim_prefix", ["name_prefix_sim"]), ("sim_token_sort", ["name_token_sort_ratio"]), ("sim_levenshtein", ["name_levenshtein", "addr_levenshtein"]), ("sim_jaro_winkler", ["name_jaro_winkler"]), ("features_name", NAME), ("features_address", ADDRESS), ("features_interaction", INTERACTION), ("features_all", ALL)):
         out[name] = f"{feat} SELECT s1_id, target_id, {_rounded(cols)} FROM fi"
-    ascii_pairs = f"SELECT s1_id, target_id {PAIRS} WHERE {ASCII}"
-    for name, cols in (("sim_levenshtein", ["name_levenshtein", "addr_levenshtein"]), ("sim_jaro_winkler", ["name_jaro_winkler"]), ("features_name", NAME), ("features_address", ADDRESS), ("features_interaction", INTERACTION), ("features_all", ALL)):
-        out[name] = f"{feat} SELECT s1_id, target_id, {_rounded(cols)} FROM fi SEMI JOIN ({ascii_pairs}) USING (s1_id, target_id)"
-    out["sim_token_sort"] = f"{cand}, {SORTED} SELECT s1_id, target_id, round(CASE WHEN x_ = '' AND y = '' THEN 1.0 ELSE 2 * n::DOUBLE / greatest(length(x_) + length(y), 1) END, 6) AS name_token_sort_ratio FROM lc"
     out["match_semi_subset"] = f"{cand}, {BASE} SELECT * FROM bl SEMI JOIN ck USING (s1_id, target_id)"
     out["missed_positives_anti"] = f"{cand} SELECT * FROM gt ANTI JOIN ck USING (s1_id, target_id)"
     out["split_train_val"] = f"WITH {E}, {TRUTH} SELECT s1_id, row_number() OVER (ORDER BY md5('42|' || s1_id), s1_id) <= floor((SELECT count(*) FROM asked) * (1 - 0.2)) AS is_train FROM asked"
@@ -264,8 +263,7 @@ SELECT total_s1, total_gt_pairs, recalled_gt_pairs, round(recalled_gt_pairs::DOU
     out["entity_f05"] = f"{r}, {TRUTH}, {BASE}, {_counts(PRED_CORE)}, {_ef('s1_id, ')} SELECT s1_id, n_pred, n_gt, tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f05, 6) AS f05 FROM ef"
     out["macro_f05"] = f"{r}, {TRUTH}, {BASE}, {_counts(PRED_BASE)}, {_ef()} {MACRO}"
     out["macro_f05_core"] = f"{r}, {TRUTH}, {_counts(PRED_CORE)}, {_ef()} {MACRO}"
-    plain = SCORED.replace("FROM fi", f"FROM fi SEMI JOIN ({ascii_pairs}) USING (s1_id, target_id)")
-    sweep = f"{feat}, {plain}, {THRESHOLDS}, {SWEEP}"
+    sweep = f"{feat}, {SCORED}, {THRESHOLDS}, {SWEEP}"
     out["threshold_sweep"] = f"{sweep} SELECT * FROM sw"
     out["threshold_best"] = f"{sweep} SELECT * FROM sw ORDER BY macro_f05 DESC, threshold LIMIT 1"
     total = lambda x: f"CAST(coalesce(sum({x}), 0) AS BIGINT)"
@@ -283,5 +281,5 @@ SELECT * FROM er QUALIFY row_number() OVER (PARTITION BY kind ORDER BY s1_id, ta
     out["profile_gt_hist"] = f"{truth} SELECT CAST(n AS INTEGER) AS matches, count(*) AS entities FROM mc GROUP BY n"
     out["write_matching_format"] = f"WITH {E}, {TRUTH}, {LINES} SELECT s1_id AS source1_entity_id, matched AS matched_entity_ids FROM gl"
     out["validate_subset"] = f"{cand} SELECT 'not in candidate_pairs' AS problem, s1_id, target_id FROM gt ANTI JOIN ck USING (s1_id, target_id)"
-    out["resolve_fixed_scorer"] = f"{feat}, {SCORED} SELECT s1_id, target_id, prob FROM sc SEMI JOIN ({ascii_pairs}) USING (s1_id, target_id) WHERE prob >= 0.5"
+    out["resolve_fixed_scorer"] = f"{r}, {TRUTH}, {FEWER}, {TOP}, {FEATURES}, {SCORED} SELECT s1_id, target_id, prob FROM sc WHERE prob >= 0.5"
     return out

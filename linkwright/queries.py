@@ -76,11 +76,7 @@ def _block(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 
 def _rounded(columns: list[str]) -> Query:
-    return lambda spark, d: Inputs(spark, d).features().select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in columns if c != "name_token_sort_ratio"])
-
-
-def _token_sort(spark: SparkSession, d: str) -> DataFrame:
-    return Inputs(spark, d).features().select("s1_id", "target_id", F.round("name_token_sort_ratio", 6).alias("name_token_sort_ratio"))
+    return lambda spark, d: Inputs(spark, d).features().select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in columns])
 
 
 def _with_candidates(f: Callable[[Inputs, DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
@@ -187,7 +183,7 @@ QUERIES: dict[str, Query] = {
     "sim_levenshtein": _rounded(["name_levenshtein", "addr_levenshtein"]),
     "sim_jaro_winkler": _rounded(["name_jaro_winkler"]),
     "sim_prefix": _rounded(["name_prefix_sim"]),
-    "sim_token_sort": _token_sort,
+    "sim_token_sort": _rounded(["name_token_sort_ratio"]),
     "features_name": _rounded(features.NAME),
     "features_address": _rounded(features.ADDRESS),
     "features_interaction": _rounded(features.INTERACTION),
