@@ -5,9 +5,14 @@ at most); two hashes of 64 bits vote on a fingerprint of 128 bits. Two fingerpri
 most so many blocks, so they agree on all others: one table for each choice of agreeing blocks is keyed by
 them and finds all candidates, whose distance is then taken in full.
 
+The order of documents comes from ids and hashes alone: they are sorted by ranges, so each key (id and hash of the
+text) learns its neighbours, and texts are shuffled once by key; half of each goes to the key before it. Keys are spread by
+hashes, however ids lie.
+
 Defined results: null text is as empty; a text without words has fingerprint zero; one word is a term of its
-own; null ids come first in the order of documents, ties go by text; a single document is its own next; an
-empty table gives no rows; further columns don't matter.
+own; null ids come first in the order of documents, rows of one id go by a hash of their text; of rows alike in id and text
+each but the last is followed by its like; a single document is its own next; an empty table gives no rows; further
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -19,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkwright.llm.simhash import hex64, positions, vote, words_of
-from linkwright.plans.staging import BROADCAST_ROWS, staged
+from linkwright.plans.staging import broadcast_if_small, staged
 
 BITS = 128
 WEIGHT_CAP = 15
 RADIUS = 6
 BLOCKS = 8
-#: Documents in a run of neighbouring ids that travel together; the first of each run travels twice.
-RUN = 128
+#: Documents whose id this divides ask which fingerprints are within RADIUS of their own.
+ASKING = 100
 NULL_ID = -(1 << 63)
 
 
@@ -86,64 +91,97 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, bloc
     masks = F.array(*[F.lit(sum(1 << k for k in choice)) for choice in choices])
     upto = F.array(*[F.lit((2 << choice[-1]) - 1) for choice in choices])
     first = agree.bitwiseAND(F.get(upto, F.col("table"))) == F.get(masks, F.col("table"))
-    return left.join(tables(fps), ["table", "key"]).withColumn("bits", bits).filter((F.col("bits") <= radius) & first).select("q0", "q1", "fp0", "fp1", "bits")
+    # 28 rows for each query by default; a crowded key beyond a broadcast is split by Spark's skew join, the queries' side being the small one
+    return tables(fps).join(broadcast_if_small(staged(left, "asked-tables")), ["table", "key"]).withColumn("bits", bits).filter((F.col("bits") <= radius) & first).select("q0", "q1", "fp0", "fp1", "bits")
+
+
+_KEY = ["known", "id", "k0", "k1"]
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(known, id, k0, k1, text): known is false for a null id; k0 and k1 are hashes of the text."""
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    rows = docs.select(F.col(id_col).isNotNull().alias("known"), F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("id"), text)
+    return rows.select("known", "id", F.xxhash64("text").alias("k0"), F.xxhash64(F.lit(1), "text").alias("k1"), "text")
 
 
-def edited_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
-    """(run, place, extra, id, text, edited): each document beside its edited text, in runs of neighbouring ids.
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Staged: each key of rows (of _keyed) with its number of rows, the length of its text, the keys before and after it, and the length before.
 
-    The one shuffle of texts deals out runs. The first document of a run goes to the run before too (extra), as the
-    next one of its last; the last run is followed by the first. There are BROADCAST_ROWS runs at most.
+    Keys are sorted by ranges. What the ranges begin and end with is a row per range, joined back; the last is followed by the first.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, count = docs.select(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    runs = max(1, min(BROADCAST_ROWS // 4, -(-count // run)))
-    step = max(1, -(-((high or 0) - (low or 0) + 1) // runs))
-    number = F.expr(f"id div {step}L")
-    firsts = base.groupBy(number.alias("run")).agg(F.min("id").alias("first_id"))
-    order = Window.orderBy("run")
-    before = F.coalesce(F.lag("run").over(order), F.last("run").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    firsts = staged(firsts.select("first_id", before.alias("before")), "runs")
-    dealt = base.join(F.broadcast(firsts), F.col("id") == F.col("first_id"), "left")
-    here = F.struct(number.alias("run"), F.lit(0).alias("extra"))
-    places = F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("before").alias("run"), F.lit(1).alias("extra"))))
-    dealt = dealt.select("id", "text", F.explode(places).alias("to")).select("to.run", "to.extra", "id", "text")
-    along = Window.partitionBy("run").orderBy("extra", "id", "text")
-    beside = dealt.select("run", "extra", "id", "text", F.row_number().over(along).alias("place"), F.lead("text").over(along).alias("next_text"))
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    return beside.select("run", "place", "extra", "id", "text", F.when(F.col("extra") == 0, edited).alias("edited"))
+    keys = staged(rows.select(*_KEY, F.length("text").alias("n")).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n")), "keys")
+    ranged = staged(keys.repartitionByRange(*_KEY).withColumn("part", F.spark_partition_id()), "ranged-keys")
+    key = F.struct(*_KEY, "n")
+    ends = ranged.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    parts, rest = Window.orderBy("part"), Window.unboundedPreceding
+    whole = parts.rowsBetween(rest, Window.unboundedFollowing)
+    ends = staged(ends.select("part", F.coalesce(F.lead("first").over(parts), F.first("first").over(whole)).alias("beyond"), F.coalesce(F.lag("last").over(parts), F.last("last").over(whole)).alias("ahead")), "range-ends")
+    along = Window.partitionBy("part").orderBy(*_KEY)
+    near = ranged.select("*", F.lag(key).over(along).alias("p"), F.lead(key).over(along).alias("a")).join(F.broadcast(ends), "part")
+    near = near.select(*_KEY, "rows", "n", F.coalesce("p", "ahead").alias("p"), F.coalesce("a", "beyond").alias("a"))
+    return staged(near.select(*_KEY, "rows", "n", *[F.col(f"p.{c}").alias(f"p_{c}") for c in (*_KEY, "n")], *[F.col(f"a.{c}").alias(f"a_{c}") for c in _KEY]), "neighbours")
+
+
+def edited_texts(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(key, rows, n, text, edited, again): each text beside the edited text of its last row, and that of the rows before it (null for a single row)."""
+    texts = rows if near.filter("rows > 1").limit(1).count() == 0 else rows.groupBy(*_KEY).agg(F.first("text").alias("text"))
+    here = texts.join(near, _KEY)
+    heads = here.select(*[F.col(f"p_{c}").alias(c) for c in _KEY], F.substring(F.col("text"), F.lit(1), F.floor(F.col("p_n") / 2).cast("int")).alias("head"))
+    half = F.floor(F.col("n") / 2).cast("int")
+    kept = F.substring(F.col("text"), F.lit(1), F.col("n") - half)
+    again = F.when(F.col("rows") > 1, F.concat(kept, F.substring(F.col("text"), F.lit(1), half)))
+    return here.select(*_KEY, "rows", "n", "text").join(heads, _KEY).select(*_KEY, "rows", "n", "text", F.concat(kept, "head").alias("edited"), again.alias("again"))
 
 
 def _long_of_hex(text: Column) -> Column:
     return F.conv(text, 16, -10).cast("long")
 
 
-def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fp0, fp1, edited0, edited1, near_edited, near_next).
+def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, asking: int = ASKING) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fp0, fp1, edited0, edited1, near_edited, near_next, n_within).
 
-    All that follows the shuffle of runs is partitioned by run already. The digest travels through the votes as
-    four numbers, so that their keys are of fixed width.
+    n_within: for documents whose id is divisible by asking, how many rows have a fingerprint within radius bits, its own
+    included; null for others. The digest travels through the votes as four numbers, so that their keys are of fixed width.
     """
-    texts = edited_texts(docs, id_col=id_col, text_col=text_col, run=run)
-    digest = F.sha2(F.col("edited").cast("binary"), 256)
-    own = F.struct(F.lit(0).alias("side"), F.col("text").alias("body"), F.length("text").cast("long").alias("n_chars"), *[F.lit(None).cast("long").alias(f"d{k}") for k in range(4)])
-    edit = F.struct(F.lit(1).alias("side"), F.col("edited").alias("body"), F.lit(None).cast("long").alias("n_chars"), *[_long_of_hex(F.substring(digest, 1 + 16 * k, 16)).alias(f"d{k}") for k in range(4)])
-    rows = texts.select("run", "place", "extra", "id", F.explode(F.when(F.col("extra") == 1, F.array(own)).otherwise(F.array(own, edit))).alias("of"))
+    rows = _keyed(docs, id_col, text_col)
+    near = neighbours(rows)
+    texts = edited_texts(rows, near)
+    digest = F.sha2(F.col("body").cast("binary"), 256)
+    body = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("body"))
+    each = F.array(body(0, "text"), body(1, "edited"), body(2, "again"))
+    sides = texts.select(*_KEY, "rows", "n", F.explode(F.filter(each, lambda x: x["body"].isNotNull())).alias("of"))
     # what the next explode carries along is read from these structs, not computed anew for each term
-    keys = ["run", "place", "extra", "id", "side", "n_chars", "d0", "d1", "d2", "d3"]
-    rows = rows.select("run", "place", "extra", "id", *[F.col(f"of.{c}").alias(c) for c in ("side", "body", "n_chars", "d0", "d1", "d2", "d3")])
-    voted = fingerprint(rows, keys, "body")
-    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    one = voted.groupBy("run", "place", "extra", "id").agg(F.max("n_chars").alias("n_chars"), *[F.max(f"d{k}").alias(f"d{k}") for k in range(4)], *[side(s, f"fp{k}").alias(f"{n}{k}") for s, n in ((0, "fp"), (1, "edited")) for k in range(2)])
-    along = Window.partitionBy("run").orderBy("place")
-    one = one.select("*", F.lead("fp0").over(along).alias("next0"), F.lead("fp1").over(along).alias("next1")).filter("extra = 0")
-    own, edit, after = ((F.col(f"{n}0"), F.col(f"{n}1")) for n in ("fp", "edited", "next"))
-    return one.select(F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), "n_chars", F.concat(*[hex64(F.col(f"d{k}")) for k in range(4)]).alias("edited_sha256"), "fp0", "fp1", "edited0", "edited1", likeness(own, edit).alias("near_edited"), likeness(own, after).alias("near_next"))
+    sides = sides.select(*_KEY, "rows", "n", "of.side", "of.body")
+    hexed = F.when(F.col("side") == 0, F.lit(None).cast("string")).otherwise(digest)
+    parts = sides.select(*_KEY, "rows", "n", F.struct("side", "body", *[_long_of_hex(F.substring(hexed, 1 + 16 * k, 16)).alias(f"d{k}") for k in range(4)]).alias("of"))
+    parts = parts.select(*_KEY, "rows", "n", F.explode(F.array("of")).alias("of")).select(*_KEY, "rows", "n", "of.*")
+    voted = fingerprint(parts, [*_KEY, "rows", "n", "side", *[f"d{k}" for k in range(4)]], "body")
+    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    names = {0: "own", 1: "edited", 2: "again"}
+    one = voted.groupBy(*_KEY, "rows", "n").agg(*[at(side, f"fp{k}").alias(f"{name}{k}") for side, name in names.items() for k in range(2)], *[at(side, f"d{k}").alias(f"{name}_d{k}") for side, name in names.items() if side for k in range(4)])
+    one = staged(one, "compared")
+    after = one.select(*[F.col(c).alias(f"a_{c}") for c in _KEY], F.col("own0").alias("next0"), F.col("own1").alias("next1"))
+    both = one.join(near.select(*_KEY, *[f"a_{c}" for c in _KEY]), _KEY).join(after, [f"a_{c}" for c in _KEY])
+    # of rows alike in id and text all but one are followed by their like
+    place = F.explode(F.when(F.col("rows") > 1, F.array(F.struct(F.lit(False).alias("last"), (F.col("rows") - 1).alias("times")), F.struct(F.lit(True).alias("last"), F.lit(1).cast("long").alias("times")))).otherwise(F.array(F.struct(F.lit(True).alias("last"), F.lit(1).cast("long").alias("times")))))
+    both = both.select("*", place.alias("copy")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copy.times"))))
+    pick = lambda last, other: F.when(F.col("copy.last"), F.col(last)).otherwise(F.col(other))
+    out = both.select("known", "id", F.col("n").cast("long").alias("n_chars"), F.col("own0").alias("fp0"), F.col("own1").alias("fp1"), *[pick(f"edited{k}", f"again{k}").alias(f"edited{k}") for k in range(2)], *[pick(f"edited_d{k}", f"again_d{k}").alias(f"d{k}") for k in range(4)], *[pick(f"next{k}", f"own{k}").alias(f"next{k}") for k in range(2)])
+    own, edit, following = ((F.col(f"{n}0"), F.col(f"{n}1")) for n in ("fp", "edited", "next"))
+    asks = F.col("known") & (F.pmod(F.col("id").cast("long"), F.lit(asking)) == 0)
+    counts = one.groupBy("own0", "own1").agg(F.sum("rows").alias("rows"))
+    found = within_radius(one.filter(asks).select(F.col("own0").alias("fp0"), F.col("own1").alias("fp1")), counts.select(F.col("own0").alias("fp0"), F.col("own1").alias("fp1")), radius)
+    total = staged(found.join(counts, (F.col("fp0") == F.col("own0")) & (F.col("fp1") == F.col("own1"))).groupBy("q0", "q1").agg(F.sum("rows").alias("n_within")), "within")
+    out = out.join(broadcast_if_small(total), (F.col("fp0") == F.col("q0")) & (F.col("fp1") == F.col("q1")), "left")
+    return out.select(
+        F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_chars", F.concat(*[hex64(F.col(f"d{k}")) for k in range(4)]).alias("edited_sha256"), "fp0", "fp1", "edited0", "edited1",
+        likeness(own, edit).alias("near_edited"), likeness(own, following).alias("near_next"), F.when(asks, F.col("n_within")).alias("n_within"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = compare_with_edits(docs)
     hexed = lambda n: F.concat(hex64(F.col(f"{n}1")), hex64(F.col(f"{n}0")))
-    return found.select("doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited").alias("edited_fingerprint"), "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited").alias("edited_fingerprint"), "near_edited", "near_next", "n_within")
