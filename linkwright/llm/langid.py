@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from linkwright.llm.batches import PAD, Counts, Trigrams, by_label, code_points, text_parts, with_columns, xxhash_longs
-from linkwright.plans.staging import staged
+from linkwright.llm.labelled import fold
+from linkwright.plans.staging import broadcast_if_small, staged
 
 SLOT_BITS = 22
 HASHES = 3
@@ -67,7 +68,9 @@ def letters_only(texts: Sequence[str]) -> list[str]:
         starts = ends - [len(p) - c for _, p, c in part]
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        keep[starts] = letter[starts]
+        # a piece goes on where the one before it ended
+        after = np.array([c > 0 and bool(_LETTERS.get()[ord(p[c - 1])]) for _, p, c in part])
+        keep[starts] = letter[starts] | after
         total = np.concatenate([[0], np.cumsum(keep)])
         text = codes[keep].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         out += [(i, text[total[s] : total[e]]) for (i, _, _), s, e in zip(part, starts, ends)]
@@ -130,7 +133,7 @@ class Filters:
         spark = docs.sparkSession
         ids = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "lang string, id long")
         totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-        share = counts.join(F.broadcast(totals.join(F.broadcast(ids), "lang")), "lang").select("id", "key", (F.col("n") / F.col("total")).alias("share"))
+        share = counts.join(broadcast_if_small(staged(totals.join(F.broadcast(ids), "lang"), "languages")), "lang").select("id", "key", (F.col("n") / F.col("total")).alias("share"))
         most = F.max("share").over(Window.partitionBy("key"))
         chosen = share.withColumn("most", most).filter((F.col("share") >= MIN_SHARE) & (F.col("share") >= RIVAL * F.col("most")))
         bit = F.expr("shiftleft(1L, cast(id % 64 as int))")
@@ -183,10 +186,6 @@ def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text") -> Da
     return docs.mapInArrow(run, schema)
 
 
-def fold(id_col: str, folds: int) -> Column:
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
-
-
 def learned_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.filter(fold(id_col, FOLDS) != HELD_OUT)
 

@@ -22,6 +22,13 @@ def test_letters_only():
     assert L.letters_only(texts) == [brute_letters(t) for t in texts]
 
 
+def test_letters_only_across_the_borders_of_parts():
+    size = 1 << 20
+    for head in ("a" * size, "a" * (size - 1) + " ", "a" * (size - 1) + "1", " " * size, "a" * (size - 2) + " 1"):
+        text = head + " b, 2c"
+        assert L.letters_only(["x", text, "y"]) == ["x", brute_letters(text), "y"]
+
+
 def corpus(n):
     rng = random.Random(2)
     syllables = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéßñ") for _ in range(rng.randint(2, 4))) for _ in range(40)] for k in range(70)}
