@@ -119,15 +119,14 @@ def base_statistics(texts: Sequence[str]) -> np.ndarray:
     offsets = np.cumsum([0, *(len(r) + 1 for r in raw)])
     doc_of = lambda at: np.searchsorted(offsets, at, "right") - 1
     word = ~_SPACE[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+    edges = np.flatnonzero(np.concatenate([[False], word]) != np.concatenate([word, [False]]))
     starts, ends = edges[::2], edges[1::2]
     word_doc = doc_of(starts)
     out = np.zeros((5, n), np.int64)
     out[0] = np.bincount(word_doc, minlength=n)
 
     def by_doc(flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flags)])
-        return total[offsets[1:]] - total[offsets[:-1]]
+        return np.add.reduceat(flags, offsets[:-1], dtype=np.int64) if n else np.zeros(0, np.int64)
 
     out[1] = by_doc(word & ((data & 0xC0) != 0x80))
     out[2] = by_doc(_SYMBOL[data])

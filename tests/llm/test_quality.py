@@ -111,3 +111,64 @@ def test_judging_keeps_what_is_usual_and_defines_odd_cases(spark):
     assert not any(kept[i] for i in (80, 81, 82, 83, 84, 85, 87)) and kept[86] == kept[0]
     assert {r.doc_id: [r.q_words, r.q_word_chars, r.q_symbols, r.q_dup_lines, r.q_repeat_words] for r in got} == {i: brute_statistics(t) for i, t, _, _ in rows}
     assert Q.judge(docs.limit(0)).count() == 0
+
+
+def brute_bands(rows):
+    """{language: (low, high)} from (language, text, surprise): quartiles of distinct texts, each weighing its characters up to 200."""
+    out = {}
+    for lang in {r[0] for r in rows}:
+        bins = Counter()
+        for text, s in {(t, s) for k, t, s in rows if k == lang and t}:
+            bins[math.floor(s / Q.BIN)] += min(len(text), Q.BAND_CHARS)
+        total, upto, cuts = sum(bins.values()), 0, {}
+        for b in sorted(bins):
+            upto += bins[b]
+            for q in (0.25, 0.75):
+                if upto >= q * total:
+                    cuts.setdefault(q, (b + 0.5) * Q.BIN)
+        if cuts:
+            spread = max(cuts[0.75] - cuts[0.25], Q.MIN_SPREAD) * Q.FENCE
+            out[lang] = (cuts[0.25] - spread, cuts[0.75] + spread)
+    return out
+
+
+def test_bands_and_verdicts_match_brute_force_by_arrays_and_by_joins(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioulmnrsté") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 25, 80]))), ["xx", "yy", None][i % 3]) for i in range(60)]
+    rows += [(100 + k, rows[1][1], "xx") for k in range(70)] + [(200, None, "zz"), (201, "qj#" * 300, "xx"), (202, "", "xx"), (203, "only short", "ww")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    models = {lang: brute_kneser_ney([t for _, t, k in rows if t and (k or "") == lang]) for lang in ("xx", "yy", "", "ww")}
+    grams = lambda t: zip([PAD, PAD, *map(ord, t)], [PAD, *map(ord, t)], map(ord, t))
+    mean = {(lang, t): -sum(math.log(models[lang](*g)) for g in grams(t)) / len(t) for lang, t in {(k or "", t) for _, t, k in rows if t}}
+    limits = brute_bands([(k or "", t, mean[k or "", t]) for _, t, k in rows if t])
+    for entries in (Q.BROADCAST_ENTRIES, 0):
+        got = {r.doc_id: r for r in Q.judge(docs, entries=entries).collect()}
+        assert got.keys() == {r[0] for r in rows}
+        for i, t, k in rows:
+            n, _, _, _, repeated = brute_statistics(t)
+            failed, lang, r = n < 20 or 100 * repeated > 30 * n, k or "", got[i]
+            low, high = limits.get(lang, (-math.inf, math.inf))
+            assert (r.q_low is None) == (lang not in limits) and r.q_base_failed == failed
+            if lang in limits:
+                assert abs(r.q_low - low) < 3 * Q.BIN and abs(r.q_high - high) < 3 * Q.BIN
+            if t:
+                assert abs(r.q_surprise - mean[lang, t]) < 1e-4
+                slack = Q.SHORT / math.sqrt(len(t))
+                if min(abs(mean[lang, t] - low + slack), abs(mean[lang, t] - high - slack)) > 0.01:
+                    assert r.q_kept == (not failed and low - slack <= mean[lang, t] <= high + slack)
+        assert not got[201].q_kept
+
+
+def test_hashes_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 1000).astype(np.uint8)
+    starts = np.arange(0, 990, 7)
+    ends = np.minimum(starts + rng.integers(0, 8, len(starts)), 1000)
+    want = Q._range_hashes(data, starts, ends)
+    alone = [Q._range_hashes(data[s:e], np.array([0]), np.array([e - s]))[0] for s, e in zip(starts, ends)]
+    assert want.tolist() == alone
+    for block in (1, 3, 64, 1000):
+        monkeypatch.setattr(Q, "BLOCK", block)
+        monkeypatch.setattr(Q, "_POWERS", Q._Powers())
+        assert Q._range_hashes(data, starts, ends).tolist() == alone
