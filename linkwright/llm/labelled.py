@@ -30,15 +30,17 @@ class Sample:
 def draw(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Sample:
     """Up to per_class labelled rows of either class, first by a hash of their id, outside of the held-out fold.
 
+    Of an id's labels the least counts, of its texts the first in code point order, so reruns agree. Ids that are null teach nothing.
+
     Only ids and labels are ordered; their texts come from a scan of docs joined with these few ids.
     """
-    learn = labels.filter((fold("doc_id") != HELD_OUT) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    learn = labels.filter((fold("doc_id") != HELD_OUT) & F.col(label).isin(0, 1)).filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
     count = {r.y: r["count"] for r in learn.groupBy("y").count().collect()}
     chosen = [learn.filter(F.col("y") == v).orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), lang.alias("lang")).filter(F.length("text") <= max_chars)
-    rows = texts.join(few, "doc_id").dropDuplicates(["doc_id"]).toArrow().to_pydict()
+    rows = texts.join(few, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("t"), F.min("y").alias("y")).select("doc_id", "t.text", "t.lang", "y").toArrow().to_pydict()
     order = np.argsort(np.array(rows["doc_id"], dtype=np.int64), kind="stable")
     y = np.array(rows["y"], dtype=np.float64)[order]
     odds = lambda ones, all_: np.log((ones + 1) / (all_ - ones + 1))

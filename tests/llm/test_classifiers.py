@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -81,6 +82,100 @@ def test_convolution_matches_brute_force():
         assert np.allclose(act[p], sum(net.p["e"][data[2 * p + k]] @ net.p["w"][k] for k in range(B.WIDTH)), atol=1e-4)
 
 
+def test_maxima_are_pooled_over_parts_of_any_size(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["", "one", *(" ".join(rng.choice(["aa", "bb", "c", "dé", "x1"], n)) for n in (2, 5, 31, 200)), "end"]
+    model = X.Classifier.fresh()
+    laid = X._laid_out(*X.word_buckets(texts))
+    act = model._activations(*laid[:2])
+    want = np.stack([act[b : b + n].max(axis=0) for b, n in zip(*laid[2:])])
+    for size in (1, 2, 3, 7, 64, 1000):
+        monkeypatch.setattr(X, "PART_WORDS", size)
+        assert np.allclose(model._pooled(*laid), want, atol=1e-5)
+
+
+def brute_quality(net, text):
+    """The whole network in loops: a chunk's maxima over the filters that begin in its blocks, then mean and least logit."""
+    raw = text.encode()
+    data = [B._PAD] * B.WIDTH + list(raw)
+    blocks = -(-len(data) // B.BLOCK)
+    data += [B._PAD] * (blocks * B.BLOCK + B.WIDTH - len(data))
+    act = [sum(net.p["e"][data[p + k]] @ net.p["w"][k] for k in range(B.WIDTH)) for p in range(0, blocks * B.BLOCK, 2)]
+    half, logits = B.BLOCK // 2, []
+    last = max(blocks - B.CHUNK_BLOCKS, 0)
+    for first in sorted({min(k * B.HOP, last) for k in range(blocks)}):
+        top = np.max(act[first * half : (first + B.CHUNK_BLOCKS) * half], axis=0) + net.p["b"]
+        inside = sum(min(max(len(raw) - b * B.BLOCK, 0), B.BLOCK) for b in range(first, min(first + B.CHUNK_BLOCKS, blocks)))
+        x = np.append(np.maximum(top, 0) if raw else top * 0, np.log1p(inside) / np.log(B.CHUNK))
+        logits.append(np.maximum(x @ net.p["h"] + net.p["hb"], 0) @ net.p["o"] + net.p["c"][0])
+    z = net.p["mix"][0] * np.mean(logits) + net.p["mix"][1] * min(logits) + net.shift
+    return 1 / (1 + np.exp(-z))
+
+
+def test_whole_scores_match_brute_force():
+    rng = np.random.default_rng(2)
+    texts = ["", "a", "é" * 70, *(" ".join(rng.choice(["wort", "ça", "#", "and so"], n)) for n in (20, 60, 101, 300, 700))]
+    net = B.Network.fresh()
+    net.p["b"] = rng.normal(0, 0.3, B.FILTERS).astype(np.float32)
+    net.shift = 0.4
+    assert np.allclose(net.scores(texts), [brute_quality(net, t) for t in texts], atol=1e-4)
+    model = X.Classifier.fresh()
+    model.p["b"], model.p["c"], model.shift = rng.normal(0, 0.3, model.p["b"].shape).astype(np.float32), np.array([0.2], np.float32), -0.3
+    want = []
+    for text in texts:
+        one, two, _ = X.word_buckets([text])
+        x = [model.p["e1"][i] + model.p["e2"][j] for i, j in zip(one, two)] or [np.zeros(X.DIMENSIONS)]
+        x += [np.zeros(X.DIMENSIONS)] * 2
+        w, tap, pooled = model.p["w"].reshape(X.DIMENSIONS, X._TAPS, X.FILTERS), 0, []
+        for width in X.WIDTHS:
+            pooled.append(np.max([sum(x[p + j] @ w[:, tap + j] for j in range(width)) for p in range(len(x) - 2)], axis=0))
+            tap += width
+        want.append(1 / (1 + np.exp(-(np.maximum(np.concatenate(pooled) + model.p["b"], 0) @ model.p["o"] + 0.2 - 0.3))))
+    assert np.allclose(model.scores(texts), want, atol=1e-4)
+
+
+def brute_threshold(scores, truth):
+    """The cut between neighbouring scores that has the best F1."""
+    cuts = sorted(set(scores), reverse=True)
+    f1 = [2 * sum(t for s, t in zip(scores, truth) if s >= c) / (sum(s >= c for s in scores) + sum(truth)) for c in cuts]
+    best = f1.index(max(f1))
+    below = [s for s in scores if s < cuts[best]]
+    return (cuts[best] + max(below)) / 2 if below else cuts[best]
+
+
+def test_thresholds_of_languages_match_brute_force():
+    class Fixed:
+        def scores(self, texts):
+            return np.array([float(t) for t in texts])
+
+    rng = random.Random(3)
+    rows = [(lang, round(rng.random(), 2), rng.random() < 0.5) for lang in ("de", "en") for _ in range(90)] + [("fr", 0.5, True)]
+    sample = labelled.Sample([str(s) for _, s, _ in rows], [lang for lang, _, _ in rows], np.array([float(t) for *_, t in rows]), 0.0)
+    got = X.calibrate(Fixed(), sample)
+    assert set(got) == {"de", "en"}
+    for lang, found in got.items():
+        own = [(s, t) for k, s, t in rows if k == lang]
+        assert abs(found - brute_threshold([s for s, _ in own], [int(t) for _, t in own])) < 1e-12
+
+
+def test_conflicting_labels_and_texts_are_settled_the_same_way(spark):
+    docs = spark.createDataFrame([(1, "b text", "en"), (1, "a text", "de"), (2, "other", "en"), (None, "nobody", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id long, toxic int")
+    for n in (1, 3, 5):
+        sample = labelled.draw(docs.repartition(n), labels.repartition(n), "toxic")
+        assert dict(zip(sample.texts, sample.y)) == {k: v for i, k, v in ((1, "a text", 0.0), (2, "other", 1.0)) if zlib.crc32(str(i).encode()) % 5}
+
+
+def test_queries_follow_their_contract(spark, tmp_path):
+    rows, docs, labels = frames(spark)
+    docs.selectExpr("*", "'s' source", "1L n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for query, cut in ((X.query, 0.5), (B.query, 0.3)):
+        got = query(spark, str(tmp_path)).collect()
+        assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= cut) and 0 <= r.score <= 1 for r in got)
+
+
 def test_chunks_cover_every_block_and_overlap():
     blocks = np.array([1, 2, 4, 5, 6, 9, 30])
     members, n = B._chunks(blocks)
