@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Code points that are worked on at once; a longer text comes in several pieces.
 PART = 1 << 20
@@ -149,5 +151,12 @@ def fresh(name: str, taken: Sequence[str]) -> str:
     return name
 
 
+def apart(docs: DataFrame, needed: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but those needed under names that no operator uses, and what gives docs' columns their names again, in order, without others."""
+    names = [c if c in needed else f"own_column_{k}" for k, c in enumerate(docs.columns)]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    return renamed, lambda df: df.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+
+
 def with_columns(batch: pa.RecordBatch, names: Sequence[str], arrays: Sequence[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])

@@ -7,7 +7,8 @@ retries and any partitioning agree.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last;
 a source without words has target 0; rows that repeat a doc_id share its draw; an empty
-table gives no rows; other columns are carried along (existing mix_* columns are replaced).
+table gives no rows; other columns are carried along (plan_mixture replaces those named mix_size, mix_source_size,
+mix_target, mix_copies or mix_taken; mix_sources keeps them as they are).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkwright.llm.batches import apart, fresh
 from linkwright.plans.staging import broadcast_if_small, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,13 +68,14 @@ def plan_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
     sizes = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    targets = staged(source_targets(sizes, weights, share, max_repeat), "mix-targets").select(F.col("source").alias("__mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    key = fresh("mix_source", docs.columns)
+    targets = staged(source_targets(sizes, weights, share, max_repeat), "mix-targets").select(F.col("source").alias(key), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     extra = unit_draw(F.col(id_col), seed) < rate - F.floor(rate)
     return (
         docs.withColumn("mix_size", word_count(F.col(text_col)))
-        .join(broadcast_if_small(targets), F.col(source_col).eqNullSafe(F.col("__mix_source")), "left")
-        .drop("__mix_source")
+        .join(broadcast_if_small(targets), F.col(source_col).eqNullSafe(F.col(key)), "left")
+        .drop(key)
         .withColumn("mix_copies", (F.floor(rate) + extra.cast("long")).cast("int"))
         .withColumn("mix_taken", F.col("mix_size") * F.col("mix_copies"))
     )
@@ -80,7 +83,10 @@ def plan_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: every document as often as the plan takes it, in the columns of docs."""
-    return plan_mixture(docs, **options).filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[f"`{c}`" for c in docs.columns])
+    needed = {options.get(f"{c}_col", default) for c, default in (("id", "doc_id"), ("text", "text"), ("source", "source"))}
+    inner, back = apart(docs, needed)
+    copy = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
+    return back(plan_mixture(inner, **options).filter("mix_copies > 0").select("*", copy.alias("mix_copy")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

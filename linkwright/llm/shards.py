@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkwright.llm.batches import fresh
 from linkwright.plans.staging import file_system, new_path
 
 TARGET_BYTES = 128 << 20
@@ -236,7 +237,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in ARRIVALS arrivals, compacted: where the last manifest keeps each of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = Store(spark, new_path(spark, "shards"))
-    store.append_arrivals(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), "arrival")
+    arrival = fresh("arrival", docs.columns)
+    store.append_arrivals(docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), arrival)
     last = store.compact()
     store.vacuum()
     table = spark.createDataFrame([(r.path.rsplit("/", 1)[1], i, r.generation, r.rows) for i, r in enumerate(last.runs)], "file string, shard int, generation int, shard_rows long")

@@ -62,6 +62,14 @@ def test_words_of_a_source_come_near_its_target(spark):
         assert abs(r["sum(mix_taken)"] / r["max(mix_target)"] - 1) < 0.08
 
 
+def test_the_mixture_keeps_columns_that_look_like_its_own(spark):
+    rows = [(i, "one two", f"s{i % 2}", "mine", i, "key") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_copy string, mix_size long, own_column_0 string")
+    mixed = mixing.mix_sources(docs)
+    assert mixed.dtypes == docs.dtypes
+    assert {(r.doc_id, r.mix_copy, r.mix_size, r.own_column_0) for r in mixed.collect()} <= {(i, "mine", i, "key") for i in range(40)} and mixed.count() > 0
+
+
 def turns():
     rng = random.Random(4)
     rows = [(c, t, rng.choice(["ann", "bob", "cy d", "system", "", None]), rng.choice([None, "", "hi <|im_end|> there", "é\nb", "ok"])) for c in (1, 2, None) for t in range(150)]
