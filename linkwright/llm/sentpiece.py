@@ -242,53 +242,76 @@ def _chunks_of(batch: pa.RecordBatch, v: Vocabulary) -> Iterator[Chunk]:
         yield Chunk(v, row["text"], row["begin"], row["end"], row["chunk"] == 0, row["last"])
 
 
-def _group_product(pdf):
-    import pandas as pd
+_STATES = pa.schema([("rid", pa.int64()), ("chunk", pa.int32()), ("entry", pa.int32()), ("exit", pa.int32()), ("ahead", pa.binary()), ("behind", pa.binary())])
+_PRODUCT = pa.schema([("rid", pa.int64()), ("chunk", pa.int32()), ("matrix", pa.binary())])
 
+
+def _product(rows: list[dict]) -> list[dict]:
+    """A group's rows in order of chunk -> one row with the product of their matrices."""
     total = None
-    for m in map(_unpack, pdf.sort_values("chunk")["matrix"]):
+    for m in (_unpack(r["matrix"]) for r in rows):
         total = m if total is None else multiply(total, m)
-    return pd.DataFrame({"rid": [pdf["rid"].iloc[0]], "chunk": np.array([pdf["group"].iloc[0]], np.int32), "matrix": [_pack(total)]})
+    return [{"rid": rows[0]["rid"], "chunk": rows[0]["group"], "matrix": _pack(total)}]
 
 
-def _group_states(pdf):
+def _states(rows: list[dict]) -> list[dict]:
     """Within a group: with the best weights from the document's begin (ahead) and to its end (behind) at the group's ends, those of each chunk."""
-    import pandas as pd
-
-    pdf = pdf.sort_values("chunk")
-    matrices = [_unpack(m) for m in pdf["matrix"]]
-    ahead, behind = pdf["ahead"].iloc[0], pdf["behind"].iloc[0]
-    f = _unpack(ahead) if ahead is not None else np.zeros((1, 1), np.float32)
-    b = _unpack(behind) if behind is not None else np.zeros((1, 1), np.float32)
-    fs, bs = [f], [b]
+    matrices = [_unpack(r["matrix"]) for r in rows]
+    ahead, behind = rows[0]["ahead"], rows[0]["behind"]
+    fs = [_unpack(ahead) if ahead is not None else np.zeros((1, 1), np.float32)]
+    bs = [_unpack(behind) if behind is not None else np.zeros((1, 1), np.float32)]
     for m in matrices:
         fs.append(multiply(fs[-1], m))
     for m in reversed(matrices):
         bs.append(multiply(m, bs[-1]))
     bs = bs[::-1]
     on = [int((x[0] + y[:, 0]).argmax()) for x, y in zip(fs, bs)]
-    return pd.DataFrame({"rid": pdf["rid"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "entry": np.array(on[:-1], np.int32), "exit": np.array(on[1:], np.int32), "ahead": [_pack(x) for x in fs[:-1]], "behind": [_pack(x) for x in bs[1:]]})
+    return [{"rid": r["rid"], "chunk": r["chunk"], "entry": on[i], "exit": on[i + 1], "ahead": _pack(fs[i]), "behind": _pack(bs[i + 1])} for i, r in enumerate(rows)]
+
 
+def _by_group(f, schema: pa.Schema):
+    """Runs f on the rows of each (rid, group), which come one after the other."""
 
-_STATES = "rid long, chunk int, entry int, exit int, ahead binary, behind binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                if held and (row["rid"], row["group"]) != (held[0]["rid"], held[0]["group"]):
+                    out += f(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(f(held), schema)
+
+    return run
 
 
 def scan(matrices: DataFrame, group: int = GROUP) -> DataFrame:
     """(rid, chunk, matrix) -> (rid, chunk, entry, exit): the states of the one best path.
 
-    A task gets a group of that many chunks of a document, then one row for each of the document's groups: at most
+    A task gets groups of that many chunks of a document, then one row for each of the document's groups: at most
     512 and 256 for the longest string there can be (2**31 bytes).
     """
     none = F.lit(None).cast("binary")
     grouped = matrices.withColumn("group", F.expr(f"chunk div {group}").cast("int"))
-    # groups are small rows but cost time: they are dealt to as many tasks as shuffles have, not joined by their bytes
+    # groups are small rows that cost time. They are dealt by a hash of their own to as many tasks as shuffles have: Spark would
+    # drop a partitioning by (rid, group) for the join's before it, and then put its few bytes together in one task
     tasks = int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame, f, schema: pa.Schema, types: str) -> DataFrame:
+        own = df.withColumn("deal", F.xxhash64("rid", "group")).repartition(tasks, "deal").sortWithinPartitions("rid", "group", "chunk")
+        return own.drop("deal").mapInArrow(_by_group(f, schema), types)
+
+    states = "rid long, chunk int, entry int, exit int, ahead binary, behind binary"
     several = grouped.filter("group > 0").select("rid").distinct()
-    products = grouped.join(several, "rid", "left_semi").repartition(tasks, "rid", "group").groupBy("rid", "group").applyInPandas(_group_product, "rid long, chunk int, matrix binary")
-    outer = products.withColumns({"ahead": none, "behind": none}).groupBy("rid").applyInPandas(_group_states, _STATES).select("rid", F.col("chunk").alias("group"), "ahead", "behind")
+    products = dealt(grouped.join(several, "rid", "left_semi"), _product, _PRODUCT, "rid long, chunk int, matrix binary")
+    whole = products.select("rid", F.lit(0).alias("group"), "chunk", "matrix", none.alias("ahead"), none.alias("behind"))
+    outer = dealt(whole, _states, _STATES, states).select("rid", F.col("chunk").alias("group"), "ahead", "behind")
     # a document of one group needs no weights from outside of it
-    inner = grouped.join(outer, ["rid", "group"], "left").repartition(tasks, "rid", "group")
-    return inner.groupBy("rid", "group").applyInPandas(_group_states, _STATES).select("rid", "chunk", "entry", "exit")
+    inner = grouped.join(outer, ["rid", "group"], "left").select("rid", "group", "chunk", "matrix", "ahead", "behind")
+    return staged(dealt(inner, _states, _STATES, states).select("rid", "chunk", "entry", "exit"), "states")
 
 
 def _round_trips(v: Vocabulary, ids: Sequence[np.ndarray], want: Sequence[bytes]) -> list[bool]:
