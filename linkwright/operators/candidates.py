@@ -12,11 +12,11 @@ FLAGS = ("gen_exact", "gen_token", "gen_tfidf", "gen_address")
 MAX_CANDIDATES = 45
 
 
-def union_with_provenance(s1: DataFrame, targets: DataFrame, enable_tfidf: bool = False) -> DataFrame:
+def union_with_provenance(s1: DataFrame, targets: DataFrame, enable_tfidf: bool = False, min_similarity: float = blocking.MIN_SIMILARITY, top_k: int = blocking.TOP_K) -> DataFrame:
     """(s1_id, target_id, gen_exact, gen_token, gen_tfidf, gen_address, gen_count)."""
     found = {"gen_exact": blocking.exact_union(s1, targets), "gen_token": blocking.by_token(s1, targets), "gen_address": blocking.by_address(s1, targets)}
     if enable_tfidf:
-        found["gen_tfidf"] = blocking.by_similarity(s1, targets).select("s1_id", "target_id")
+        found["gen_tfidf"] = blocking.by_similarity(s1, targets, min_similarity, top_k).select("s1_id", "target_id")
     out = None
     for flag, pairs in found.items():
         marked = pairs.select("s1_id", "target_id", *[F.lit(int(f == flag)).alias(f) for f in FLAGS])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkwright.functions import similarity as S
 
+# Names and order of the features.
 NAME = ["name_exact_clean", "name_exact_core", "name_exact_sorted", "name_exact_alpha", "name_token_jaccard", "name_token_overlap", "name_common_tokens_count", "name_char_jaccard", "name_levenshtein", "name_jaro_winkler", "name_token_sort_ratio", "name_prefix_sim", "name_len_diff_ratio", "name_token_count_diff"]
 ADDRESS = ["addr_both_empty", "addr_one_empty", "addr_exact_clean", "addr_exact_sorted", "addr_exact_alpha", "addr_token_jaccard", "addr_token_overlap", "addr_common_tokens_count", "addr_levenshtein", "addr_numeric_overlap_count", "addr_postal_code_match", "addr_building_num_match", "addr_len_diff_ratio"]
 INTERACTION = ["name_x_addr", "name_add_addr", "name_jacc_x_addr_jacc", "harmonic_sim", "both_exact_clean", "name_addr_disagreement", "country_match"]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from linkwright.functions.tables import ACCENTS, DEVANAGARI_RANGE, GUJARATI_RANGE
+from linkwright.plans.heads import marked
 
 SAMPLE = 250_000
 
@@ -24,8 +24,7 @@ def profile_source(records: DataFrame, sample_limit: int = SAMPLE, by: str = "so
 
     The sample is a report's own limit.
     """
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("ingest_seq"))
-    df = records.select(by, _field("business_name").alias("n"), _field("business_address").alias("a"), _field("country").alias("c"), (rank <= sample_limit).alias("s"))
+    df = marked(records, by, "ingest_seq", sample_limit, "s").select(by, _field("business_name").alias("n"), _field("business_address").alias("a"), _field("country").alias("c"), "s")
     sampled = F.sum(F.col("s").cast("long"))
     count = lambda c: F.sum(c.cast("long"))
     mean = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("s"), c)), F.lit(0.0)), 2)

@@ -221,6 +221,7 @@ def sql() -> dict[str, str]:
     r, out = RECORDS, {}
     out["entities"] = f"WITH {E} SELECT * FROM e"
     out["scan_country_filter"] = f"WITH {E} SELECT entity_id, business_name, country FROM e WHERE lower(country) = 'usa' ORDER BY ingest_seq LIMIT 100"
+    out["scan_tsv_country"] = f"WITH {E} SELECT entity_id, trim(business_name) AS business_name, trim(business_address) AS business_address, trim(country) AS country FROM e WHERE lower(country) = 'usa'"
     out["gt_parse_explode"] = f"WITH {E}, {TRUTH} SELECT s1_id, target_id FROM gt"
     out["gt_singletons"] = f"WITH {E}, {TRUTH} SELECT s1_id FROM asked ANTI JOIN gt USING (s1_id)"
     out["target_sample_semi"] = f"WITH {E}, {TRUTH} SELECT entity_id, source FROM e WHERE source > 1 AND entity_id IN (SELECT target_id FROM gt) UNION ALL SELECT entity_id, source FROM (SELECT * FROM e WHERE source > 1 AND entity_id NOT IN (SELECT target_id FROM gt) QUALIFY row_number() OVER (PARTITION BY source ORDER BY ingest_seq) <= 50)"
@@ -255,7 +256,7 @@ SELECT total_s1, total_gt_pairs, recalled_gt_pairs, round(recalled_gt_pairs::DOU
     for name, cols in (("sim_jaccard", ["name_token_jaccard", "addr_token_jaccard", "name_char_jaccard"]), ("sim_overlap", ["name_token_overlap", "addr_token_overlap"]), ("sim_prefix", ["name_prefix_sim"]), ("sim_token_sort", ["name_token_sort_ratio"]), ("sim_levenshtein", ["name_levenshtein", "addr_levenshtein"]), ("sim_jaro_winkler", ["name_jaro_winkler"]), ("features_name", NAME), ("features_address", ADDRESS), ("features_interaction", INTERACTION), ("features_all", ALL)):
         out[name] = f"{feat} SELECT s1_id, target_id, {_rounded(cols)} FROM fi"
     out["match_semi_subset"] = f"{cand}, {BASE} SELECT * FROM bl SEMI JOIN ck USING (s1_id, target_id)"
-    out["missed_positives_anti"] = f"{cand} SELECT * FROM gt ANTI JOIN ck USING (s1_id, target_id)"
+    out["missed_positives_anti"] = f"{r}, {TRUTH}, {BASE} SELECT * FROM gt ANTI JOIN bl USING (s1_id, target_id)"
     out["split_train_val"] = f"WITH {E}, {TRUTH} SELECT s1_id, row_number() OVER (ORDER BY md5('42|' || s1_id), s1_id) <= floor((SELECT count(*) FROM asked) * (1 - 0.2)) AS is_train FROM asked"
     train = f"{cand}, {POSITIVES}, {NEGATIVES}, {SPARE}"
     out["hard_negatives"] = f"{cand}, {POSITIVES}, {NEGATIVES} SELECT * FROM ne"
@@ -280,6 +281,6 @@ SELECT * FROM er QUALIFY row_number() OVER (PARTITION BY kind ORDER BY s1_id, ta
     out["profile_gt"] = f"{truth} SELECT count(*) AS total_s1_entities, {parts}, {total('n')} AS total_matched_pairs, round(coalesce(sum(n), 0)::DOUBLE / greatest(count(*), 1), 3) AS mean_matches_per_s1, CAST(coalesce(max(n), 0) AS INTEGER) AS max_matches, {total('s2')} AS total_s2_matches, {total('s3')} AS total_s3_matches FROM mc"
     out["profile_gt_hist"] = f"{truth} SELECT CAST(n AS INTEGER) AS matches, count(*) AS entities FROM mc GROUP BY n"
     out["write_matching_format"] = f"WITH {E}, {TRUTH}, {LINES} SELECT s1_id AS source1_entity_id, matched AS matched_entity_ids FROM gl"
-    out["validate_subset"] = f"{cand} SELECT 'not in candidate_pairs' AS problem, s1_id, target_id FROM gt ANTI JOIN ck USING (s1_id, target_id)"
+    out["validate_subset"] = f"{r}, {TRUTH}, {BASE} SELECT 'not in candidate_pairs' AS problem, s1_id, target_id FROM gt ANTI JOIN bl USING (s1_id, target_id)"
     out["resolve_fixed_scorer"] = f"{r}, {TRUTH}, {FEWER}, {TOP}, {FEATURES}, {SCORED} SELECT s1_id, target_id, prob FROM sc WHERE prob >= 0.5"
     return out

@@ -34,6 +34,30 @@ def file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = file_system(spark, path)
+    return bool(fs.exists(where))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, in whatever store the path is; folders above it are made."""
+    fs, where = file_system(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; it goes when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/linkwright/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from linkwright.functions import text as X
 from linkwright.operators import blocking, candidates, evaluation, features, model, profile, training
 from linkwright.operators.normalize import addresses, entities_normalized, names
 from linkwright.plans.experiments import controlled_recall
-from linkwright.plans.staging import staged
+from linkwright.plans.staging import new_path, staged
 from linkwright.sources import tsv
 from linkwright.sources.entities import entities, truth_entities, truth_pairs
 
@@ -20,11 +21,15 @@ class Inputs:
     """Tables that several operators of a query use; normalized records are staged once, before they fan out."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.records = entities(spark, sf_dir)
+        self.spark, self.sf_dir = spark, sf_dir
 
-    @property
+    @cached_property
+    def records(self) -> DataFrame:
+        return staged(entities(self.spark, self.sf_dir), "entities")
+
+    @cached_property
     def truth(self) -> DataFrame:
-        return truth_pairs(self.records)
+        return staged(truth_pairs(self.records), "truth")
 
     @property
     def asked(self) -> DataFrame:
@@ -111,7 +116,7 @@ def _fixed_scores(inputs: Inputs, enable_tfidf: bool = True) -> DataFrame:
 
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
     inputs = Inputs(spark, d)
-    return evaluation.threshold_sweep(_fixed_scores(inputs), inputs.truth, inputs.asked)
+    return evaluation.threshold_sweep(staged(_fixed_scores(inputs), "scores"), inputs.truth, inputs.asked)
 
 
 def _target_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -128,8 +133,32 @@ def _written(spark: SparkSession, d: str) -> DataFrame:
     return tsv.matching_rows(inputs.records.filter("source = 1"), inputs.truth).select("source1_entity_id", "matched_entity_ids")
 
 
-def _validated(inputs: Inputs, found: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
-    return tsv.validate(tsv.matching_rows(s1, inputs.truth), tsv.matching_rows(s1, found, "candidate_entity_ids"), s1)
+def _tsv(spark: SparkSession, rows: DataFrame) -> str:
+    """The folder that rows are written to, as the files that the scans read."""
+    path = new_path(spark, "tsv")
+    tsv.write_rows(rows, path)
+    return path
+
+
+def _scan_tsv(spark: SparkSession, d: str) -> DataFrame:
+    records = Inputs(spark, d).records
+    return tsv.read_records(spark, _tsv(spark, records.select("ingest_seq", *tsv.FIELDS)), country="USA").select(*tsv.FIELDS)
+
+
+def _parsed_truth(spark: SparkSession, d: str) -> DataFrame:
+    inputs = Inputs(spark, d)
+    lines = tsv.read_truth_lines(spark, _tsv(spark, tsv.matching_rows(inputs.records.filter("source = 1"), inputs.truth)))
+    return tsv.truth_pairs(tsv.parse_truth(lines))
+
+
+def _validated(spark: SparkSession, d: str) -> DataFrame:
+    """True pairs against candidates that have the exact ones alone, both written and read again."""
+    inputs = Inputs(spark, d)
+    s1, targets = inputs.sides()
+    written = [tsv.matching_rows(s1, inputs.truth), tsv.matching_rows(s1, _baseline(s1, targets), "candidate_entity_ids")]
+    names = ("source1_entity_id", "matched_entity_ids"), ("source1_entity_id", "candidate_entity_ids")
+    matches, found = (tsv.read_truth_lines(spark, _tsv(spark, df)).select(F.col("s1_id").alias(a), F.col("matched").alias(b)) for df, (a, b) in zip(written, names))
+    return tsv.validate(matches, found, s1)
 
 
 def _score_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +179,8 @@ def _sides_weights(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "entities": entities,
     "scan_country_filter": _scan,
-    "gt_parse_explode": lambda s, d: Inputs(s, d).truth,
+    "scan_tsv_country": _scan_tsv,
+    "gt_parse_explode": _parsed_truth,
     "gt_singletons": lambda s, d: (lambda i: i.asked.join(i.truth, "s1_id", "left_anti"))(Inputs(s, d)),
     "target_sample_semi": _target_sample,
     "text_clean": _text(cleaned=_cleaned),
@@ -189,7 +219,7 @@ QUERIES: dict[str, Query] = {
     "features_interaction": _rounded(features.INTERACTION),
     "features_all": _rounded(features.ALL),
     "match_semi_subset": _with_candidates(lambda i, found, s1, targets: _baseline(s1, targets).join(found, ["s1_id", "target_id"], "left_semi")),
-    "missed_positives_anti": _with_candidates(lambda i, found, s1, targets: training.missed_positives(found, i.truth, targets)),
+    "missed_positives_anti": lambda s, d: (lambda i: (lambda s1, targets: training.missed_positives(_baseline(s1, targets), i.truth, targets))(*i.sides()))(Inputs(s, d)),
     "split_train_val": lambda s, d: training.split(Inputs(s, d).asked),
     "hard_negatives": _with_candidates(lambda i, found, s1, targets: training.hard_negatives(found, i.truth, training.positives_of(found, i.truth, targets))),
     "training_pairs": _with_candidates(lambda i, found, s1, targets: training.training_pairs(found, i.truth, i.asked, targets)),
@@ -206,7 +236,7 @@ QUERIES: dict[str, Query] = {
     "profile_gt": lambda s, d: profile.profile_truth(Inputs(s, d).truth_lines()),
     "profile_gt_hist": lambda s, d: profile.truth_histogram(Inputs(s, d).truth_lines()),
     "write_matching_format": _written,
-    "validate_subset": _with_candidates(_validated),
+    "validate_subset": _validated,
     "score_matches": _score_matches,
     "resolve_fixed_scorer": lambda s, d: model.decide(_fixed_scores(Inputs(s, d), enable_tfidf=False), 0.5),
 }

@@ -1,5 +1,6 @@
 import json
 import math
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,30 +114,30 @@ def test_similarity_columns(spark):
 
 
 TRAIN = [
-    (1, "S1-1", "Acme Corp", "123 Main St, Austin, TX", "US"),
-    (1, "S1-2", "Apex Infotech Pvt Ltd", "45 MG Road, Bangalore", "India"),
-    (1, "S1-3", "Solo Enterprise", "99 Ocean Ave, Miami, FL", "US"),
-    (1, "S1-4", "Global Tech Inc", "500 5th Ave, New York, NY", "US"),
-    (1, "S1-5", "Mumbai Clinic", "12 SV Road, Mumbai, Maharashtra", "India"),
-    (1, "S1-6", "Delta Systems", "10 Elm St, Boston, MA", "US"),
-    (2, "S2-10", "Acme Corporation", "123 Main Street, Austin, Texas", "US"),
-    (2, "S2-20", "Apex Infotech", "45 MG Rd, Bangalore, Karnataka", "India"),
-    (2, "S2-40", "Global Tech", "500 Fifth Avenue, NY", "US"),
-    (2, "S2-50", "Mumbai Clinic Pvt Ltd", "12 SV Rd, Mumbai", "India"),
-    (2, "S2-99", "Unrelated Co", "100 Wall St, New York", "US"),
-    (3, "S3-10", "Acme Incorporated", "123 Main St, Austin", "US"),
-    (3, "S3-40", "Global Tech Systems", "500 5th Ave, New York", "US"),
-    (3, "S3-99", "Noise Corp", "200 Broadway, New York", "US"),
+    (1, "S1-1", "Harbor Lantern Corp", "17 Quay St, Tacoma, WA", "US"),
+    (1, "S1-2", "Nilgiri Spices Pvt Ltd", "8 Lake Road, Mysore", "India"),
+    (1, "S1-3", "Lonely Kiln", "402 Birch Ave, Tulsa, OK", "US"),
+    (1, "S1-4", "Copper Finch Inc", "91 7th Ave, Denver, CO", "US"),
+    (1, "S1-5", "Pune Dental House", "33 Fort Road, Pune, Maharashtra", "India"),
+    (1, "S1-6", "Willow Metrics", "6 Ash St, Albany, NY", "US"),
+    (2, "S2-10", "Harbor Lantern Corporation", "17 Quay Street, Tacoma, Washington", "US"),
+    (2, "S2-20", "Nilgiri Spices", "8 Lake Rd, Mysore, Karnataka", "India"),
+    (2, "S2-40", "Copper Finch", "91 Seventh Avenue, CO", "US"),
+    (2, "S2-50", "Pune Dental House Pvt Ltd", "33 Fort Rd, Pune", "India"),
+    (2, "S2-99", "Nothing Alike Co", "750 Mill Way, Fresno", "US"),
+    (3, "S3-10", "Harbor Lantern Incorporated", "17 Quay St, Tacoma", "US"),
+    (3, "S3-40", "Copper Finch Works", "91 7th Ave, Denver", "US"),
+    (3, "S3-99", "Static Corp", "1200 Canal Blvd, Fresno", "US"),
 ]
 TRUTH = {"S1-1": "S2-10,S3-10", "S1-2": "S2-20", "S1-3": "", "S1-4": "S2-40,S3-40", "S1-5": "S2-50", "S1-6": ""}
 TEST = [
-    (1, "S1-T1", "Acme Corp", "123 Main St, Austin, TX", "US"),
-    (1, "S1-T2", "Marina Ecole France SARL", "63 Rue de Dieppe, Lille", "France"),
-    (1, "S1-T3", "Solo Inc", "10 Ocean Dr, Miami", "US"),
-    (2, "S2-T10", "Acme Corporation", "123 Main Street, Austin, Texas", "US"),
-    (2, "S2-T20", "Marina Ecole France", "63 R. DE DIEPPE, LILLE", "France"),
-    (3, "S3-T10", "Acme Inc", "123 Main St, Austin", "US"),
-    (3, "S3-T20", "Other France Club", "10 Paris Rd", "France"),
+    (1, "S1-T1", "Harbor Lantern Corp", "17 Quay St, Tacoma, WA", "US"),
+    (1, "S1-T2", "Atelier Verrier Nantais SARL", "5 Rue des Halles, Nantes", "France"),
+    (1, "S1-T3", "Lonely Inc", "12 Birch Dr, Tulsa", "US"),
+    (2, "S2-T10", "Harbor Lantern Corporation", "17 Quay Street, Tacoma, Washington", "US"),
+    (2, "S2-T20", "Atelier Verrier Nantais", "5 R. DES HALLES, NANTES", "France"),
+    (3, "S3-T10", "Harbor Lantern Inc", "17 Quay St, Tacoma", "US"),
+    (3, "S3-T20", "Cercle du Lac", "44 Place Verte", "France"),
 ]
 
 
@@ -213,8 +214,8 @@ def test_features(linked):
     rows = features.pair_features(truth, s1, targets).collect()
     assert len(features.ALL) == 39 and len(rows) == 6
     assert all(r[f] is not None and not math.isnan(r[f]) for r in rows for f in features.ALL)
-    acme = next(r for r in rows if r.target_id == "S2-10")
-    assert acme.name_exact_core == 1 and acme.country_match == 1 and acme.addr_levenshtein > 0.7 and acme.gen_count == 0
+    lantern = next(r for r in rows if r.target_id == "S2-10")
+    assert lantern.name_exact_core == 1 and lantern.country_match == 1 and lantern.addr_levenshtein > 0.7 and lantern.gen_count == 0
 
 
 def test_metrics(spark):
@@ -270,7 +271,14 @@ def test_results_and_validation(spark, tmp_path):
     less = tsv.matching_rows(required, found.filter("target_id = 'S3-20'"), "candidate_entity_ids")
     assert [r.problem for r in tsv.validate(rows, less, required).collect()] == ["not in candidate_pairs"]
     assert {r.problem for r in tsv.validate(rows.limit(1), cand, required.filter("ingest_seq = 1")).collect()} == {"missing id", "unknown id"}
-    assert tsv.package(str(tmp_path / "z.zip"), str(tmp_path)) == ["output/m.tsv"]
+    tsv.write_rows(rows.repartition(2), str(tmp_path / "parts.tsv"))
+    (tmp_path / "src" / "in").mkdir(parents=True)
+    (tmp_path / "src" / "in" / "a.py").write_text("x = 1\n")
+    (tmp_path / "doc.md").write_text("# doc\n")
+    names = tsv.package(spark, str(tmp_path / "z.zip"), str(tmp_path), str(tmp_path / "src"), str(tmp_path / "doc.md"))
+    assert names[0] == "output/m.tsv" and names[-2:] == ["code/in/a.py", "doc.md"] and all(n.startswith("output/parts.tsv") for n in names[1:-2])
+    with zipfile.ZipFile(tmp_path / "z.zip") as z:
+        assert z.namelist() == names and z.read("output/m.tsv") == part.read_bytes() and z.read("doc.md") == b"# doc\n"
 
 
 def test_split_is_exact_and_disjoint(spark):
@@ -279,6 +287,54 @@ def test_split_is_exact_and_disjoint(spark):
     assert len(got) == 1003 and sum(r.is_train for r in got) == int(1003 * 0.8)
 
 
+def test_first_rows_of_each_group(spark):
+    import random
+
+    from linkwright.plans.heads import marked
+
+    rng = random.Random(2)
+    rows = [(k, i, f"{k}-{i}") for k, ids in ((1, rng.sample(range(10**6), 700)), (2, [5, 2**62, 7, -3]), (None, range(0, 900, 3))) for i in ids]
+    df = spark.createDataFrame(rows, "source int, ingest_seq long, name string").repartition(5)
+    for n in (0, 1, 3, 4, 250, 10_000):
+        want = {r[2] for k in (1, 2, None) for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1])[:n]}
+        assert {r.name for r in marked(df, "source", "ingest_seq", n, "head").filter("head").collect()} == want
+    assert marked(df.limit(0), "source", "ingest_seq", 3, "head").count() == 0
+    plan = marked(df, "source", "ingest_seq", 250, "head")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_spare_negatives_are_the_first_targets_that_are_no_match(spark):
+    targets = spark.createDataFrame([(f"t{i}", 2 + i // 6, i) for i in range(12)], "entity_id string, source int, ingest_seq long")
+    truth = spark.createDataFrame([("a", "t0"), ("a", "t1"), ("a", "t3"), ("b", "t2"), ("c", "t0")], "s1_id string, target_id string")
+    none = spark.createDataFrame([], "s1_id string, target_id string, gen_exact boolean, gen_token boolean, gen_tfidf boolean, gen_address boolean, gen_count int")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "s1_id string")
+    got = {r.s1_id: r.target_id for r in training.training_pairs(none, truth, asked, targets).filter("label = 0").collect()}
+    assert got == {"a": "t2", "b": "t0", "c": "t1", "d": "t0"}
+
+
+def test_quoted_fields(spark, tmp_path):
+    path = tmp_path / "q.tsv"
+    path.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"A ""b"" c"\t1 St\tUS\n', encoding="utf-8")
+    assert tsv.read_records(spark, str(path), quoted=True).first().business_name == 'A "b" c'
+    assert tsv.read_records(spark, str(path)).first().business_name == '"A ""b"" c"'
+
+
+def test_calibrators_are_saved_with_the_model(spark, tmp_path):
+    import random
+
+    from pyspark.ml import PipelineModel
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(p, int(rng.random() < p * p)) for p in (rng.random() for _ in range(300))], "prob double, label int")
+    for method in ("sigmoid", "isotonic"):
+        fitted = model.Calibrator(method).fit(df)
+        path = str(tmp_path / method)
+        model.save(PipelineModel([]), path, model.Metadata(0.3), spark, fitted)
+        _, meta, loaded = model.load(path, spark)
+        assert meta.optimal_threshold == 0.3
+        assert [r.prob for r in loaded.apply(df).collect()] == [r.prob for r in fitted.apply(df).collect()]
+
+
 def test_calibration(spark):
     import random
 
@@ -290,7 +346,11 @@ def test_calibration(spark):
         gap = out.agg(F.avg(F.col("prob") - F.col("label"))).first()[0]
         assert abs(gap) < 0.05 and out.filter("prob < 0 or prob > 1").count() == 0
     assert model.Calibrator().fit(df.limit(5)).apply(df.limit(5)).collect() == df.limit(5).collect()
-    assert abs(model.average_precision(spark.createDataFrame([(0.9, 1), (0.8, 0), (0.7, 1)], "prob double, label int")) - (0.5 + 0.5 * 2 / 3)) < 1e-9
+    assert model.ranking_figures(spark.createDataFrame([(0.9, 1), (0.8, 0), (0.7, 1)], "prob double, label int")) == {"roc_auc": 0.5, "average_precision": round(0.5 + 0.5 * 2 / 3, 4)}
+    ties = [(round(rng.random(), 1), rng.random() < 0.4) for _ in range(60)]
+    ones, zeros = [p for p, y in ties if y], [p for p, y in ties if not y]
+    area = sum((p > q) + (p == q) / 2 for p in ones for q in zeros) / (len(ones) * len(zeros))
+    assert model.ranking_figures(spark.createDataFrame([(p, int(y)) for p, y in ties], "prob double, label int"))["roc_auc"] == round(area, 4)
 
 
 def test_end_to_end(spark, tmp_path):
@@ -302,17 +362,20 @@ def test_end_to_end(spark, tmp_path):
     config["data"] |= {"train_dir": str(tmp_path / "train"), "test_dir": str(tmp_path / "test"), "val_fraction": 0.33}
     config["blocking"] |= {"max_candidates_per_s1": 10, "enable_tfidf": False}
     config["model"] |= {"n_estimators": 4, "learning_rate": 0.3, "min_child_samples": 1, "neg_pos_ratio": 2.0, "save_model_path": str(tmp_path / "model"), "score_mode": "raw"}
-    config["output"]["output_dir"] = str(tmp_path / "out")
+    config["output"] |= {"output_dir": str(tmp_path / "out"), "single_file": True, "zip": str(tmp_path / "results.zip")}
     resolver = Resolver(spark, config)
     report = resolver.profile(str(tmp_path / "reports" / "profile.json"))
     assert report["ground_truth"]["singletons_zero_matches"] == 2 and report["train_source1.tsv"]["total_records"] == 6
     assert json.loads((tmp_path / "reports" / "profile.json").read_text()) == report
+    assert "## train_source1.tsv" in (tmp_path / "reports" / "profile.md").read_text()
     figures = resolver.train()
-    assert 0 <= figures["macro_f05"] <= 1
+    assert 0 <= figures["macro_f05"] <= 1 and 0 <= figures["roc_auc"] <= 1 and 0 <= figures["average_precision"] <= 1
     rows, cand = Resolver(spark, config).resolve()
     assert [r.source1_entity_id for r in rows.orderBy("ingest_seq").collect()] == ["S1-T1", "S1-T2", "S1-T3"]
     assert "S2-T20" in {r.source1_entity_id: r.candidate_entity_ids for r in cand.collect()}["S1-T2"]
     assert len(list((tmp_path / "out" / "matching_results.tsv").glob("part-*"))) == 1
+    with zipfile.ZipFile(tmp_path / "results.zip") as z:
+        assert set(z.namelist()) == {"output/matching_results.tsv", "output/candidate_pairs.tsv"}
 
 
 def test_stream_of_targets(spark, linked, tmp_path):
