@@ -6,9 +6,11 @@ target or more is done. Rounds follow until no tier has FAN_IN runs. What a read
 version: each append and each wave of merges writes its files first and then commits the next manifest by a rename that
 fails if that version exists, so a reader sees the one state or the other, a writer that lost the race tries again from
 what it finds, and a job that dies leaves files that no manifest names (vacuum deletes them, and those that only old
-versions name). A merge is a job of one task per bundle of runs, JOBS of them at a time, without a shuffle.
+versions name). That rename must be atomic in the store (HDFS, local files; not plain S3). A wave of merges is one job with a task per
+bundle of runs, without a shuffle.
 
-The driver holds the manifest: one short entry per file.
+A manifest's file holds what the version adds and takes away, every FULL-th one all runs, so a commit writes in proportion to its
+change. The driver holds the manifest: one short entry per file.
 
 Defined results: rows are kept as they are (nulls, repeats, empty texts); an empty arrival adds no shard but a version; columns that
 an arrival lacks are null in it, new ones are added to the schema, a column of another type is an error; names that begin with
@@ -21,22 +23,24 @@ import json
 import math
 import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkwright.llm.batches import fresh
-from linkwright.plans.staging import file_system, new_path
+from linkwright.plans.staging import file_system, new_path, read_text
 
 TARGET_BYTES = 128 << 20
 SMALLEST = 1 << 20
 RATIO = 4
 FAN_IN = 4
-#: Bundles that are merged before they are committed together, and how many of them at a time.
-WAVE, JOBS = 64, 16
+#: Bundles that are merged in one job and committed together.
+WAVE = 64
+#: Versions from one manifest with all runs to the next.
+FULL = 16
 ARRIVALS = 8
 
 
@@ -89,6 +93,9 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.fs, self._root = file_system(spark, self.root)
+        # a union of single partitions must keep them apart; a session of its own leaves the caller's settings alone
+        self._merging = spark.newSession()
+        self._merging.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def _path(self, *parts: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
@@ -107,22 +114,37 @@ class Store:
             version = found[-1] if found else 0
         if version == 0:
             return Manifest()
-        stream = self.fs.open(self._path("manifest", f"v{version:012d}.json"))
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        raw = json.loads(text)
-        return Manifest(raw["version"], raw["schema"], [Run(**r) for r in raw["runs"]])
-
-    def commit(self, new: Manifest) -> Manifest:
-        """Write beside, then rename: the rename is the commit, and fails if the version exists."""
+        changes = []
+        while True:
+            raw = json.loads(self._text(version))
+            changes.append(raw)
+            if "runs" in raw:
+                break
+            version -= 1
+        runs = {r["path"]: Run(**r) for r in changes[-1]["runs"]}
+        for raw in reversed(changes[:-1]):
+            for path in raw["gone"]:
+                del runs[path]
+            runs |= {r["path"]: Run(**r) for r in raw["added"]}
+        return Manifest(changes[0]["version"], changes[0]["schema"], sorted(runs.values(), key=lambda r: (r.born, r.path)))
+
+    def _text(self, version: int) -> str:
+        return read_text(self.spark, f"{self.root}/manifest/v{version:012d}.json")
+
+    def commit(self, new: Manifest, old: Manifest | None = None) -> Manifest:
+        """Write beside, then rename: the rename is the commit, and fails if the version exists. old: the version before, which changes are told from."""
+        body = {"version": new.version, "schema": new.schema}
+        if old is None or old.version == 0 or new.version % FULL == 0:
+            body["runs"] = [asdict(r) for r in new.runs]
+        else:
+            before, after = {r.path for r in old.runs}, {r.path for r in new.runs}
+            body |= {"gone": sorted(before - after), "added": [asdict(r) for r in new.runs if r.path not in before]}
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         self.fs.mkdirs(self._path("manifest"))
         draft, final = self._path("manifest", f".{uuid.uuid4().hex}"), self._path("manifest", f"v{new.version:012d}.json")
         out = self.fs.create(draft, True)
         try:
-            out.write(bytearray(json.dumps({"version": new.version, "schema": new.schema, "runs": [asdict(r) for r in new.runs]}).encode()))
+            out.write(bytearray(json.dumps(body).encode()))
         finally:
             out.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._root.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -157,7 +179,7 @@ class Store:
             now = self.manifest()
             born = max((r.born for r in now.runs), default=-1) + 1
             try:
-                return self.commit(Manifest(now.version + 1, self._merged(now, df), [*now.runs, *[Run(p, n, b, born + k) for k, (p, n, b) in enumerate(added)]]))
+                return self.commit(Manifest(now.version + 1, self._merged(now, df), [*now.runs, *[Run(p, n, b, born + k) for k, (p, n, b) in enumerate(added)]]), now)
             except CommitConflict:
                 continue
         raise CommitConflict(f"no commit in {tries} tries")
@@ -200,22 +222,20 @@ class Store:
             schema = self._schema(now)
             folder = f"{self.root}/data/m-{uuid.uuid4().hex}"
 
-            def merge(k: int, bundles=bundles, schema=schema, folder=folder) -> Run:
-                b = bundles[k]
-                self.spark.read.schema(schema).parquet(*[r.path for r in b]).coalesce(1).write.option("compression", "zstd").parquet(f"{folder}/{k}")
-                ((path, rows, size),) = self._written(f"{folder}/{k}", schema)
-                assert rows == sum(r.rows for r in b)
-                return Run(path, rows, size, b[0].born, 1 + max(r.generation for r in b))
-
-            with ThreadPoolExecutor(JOBS) as pool:
-                added = list(pool.map(merge, range(len(bundles))))
+            # a partition is a bundle, and a file of the result a partition, in their order
+            parts = [self._merging.read.schema(schema).parquet(*[r.path for r in b]).coalesce(1) for b in bundles]
+            reduce(DataFrame.unionAll, parts).write.option("compression", "zstd").parquet(folder)
+            written = self._written(folder, schema)
+            if [n for _, n, _ in written] != [sum(r.rows for r in b) for b in bundles]:
+                raise RuntimeError(f"{folder} hasn't the rows of its bundles")
+            added = [Run(path, rows, size, b[0].born, 1 + max(r.generation for r in b)) for (path, rows, size), b in zip(written, bundles)]
             gone = {r.path for b in bundles for r in b}
             while True:
                 now = self.manifest()
                 if not gone <= {r.path for r in now.runs}:
                     break
                 try:
-                    self.commit(Manifest(now.version + 1, now.schema, sorted([*[r for r in now.runs if r.path not in gone], *added], key=lambda r: (r.born, r.path))))
+                    self.commit(Manifest(now.version + 1, now.schema, sorted([*[r for r in now.runs if r.path not in gone], *added], key=lambda r: (r.born, r.path))), now)
                     break
                 except CommitConflict:
                     continue

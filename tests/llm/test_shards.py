@@ -65,3 +65,30 @@ def test_a_version_is_committed_once(spark):
     assert store.versions() == [1]
     names = [f.getPath().getName() for f in store.fs.listStatus(store._path("manifest"))]
     assert [n for n in names if not n.endswith(".crc")] == ["v000000000001.json"]
+
+
+def test_manifests_hold_changes_and_all_runs_now_and_then(spark):
+    import json
+
+    store = Store(spark, new_path(spark, "store"))
+    runs, old = [], None
+    for v in range(1, 40):
+        runs = [r for r in runs if v % 5 or r.born % 2] + [Run(f"p{v}", v, v, v)]
+        old = store.commit(Manifest(v, str(v), runs), old)
+        assert store.manifest().runs == runs and store.manifest().schema == str(v)
+    whole = [v for v in range(1, 40) if "runs" in json.loads(store._text(v))]
+    assert whole == [1, 16, 32]
+    assert [r.born for r in store.manifest(7).runs] == [1, 3, 5, 6, 7]
+
+
+def test_the_query_places_every_document_once(spark, tmp_path):
+    from linkwright.llm import shards
+
+    docs = spark.createDataFrame([(i, None if i % 9 == 0 else "text " * (i % 40), i, "own") for i in range(300)] + [(7, "again", 1, None)], "doc_id long, text string, n_chars long, arrival string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = shards.query(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in got) == sorted((r.doc_id, r.n_chars) for r in docs.collect())
+    shards_of = {r.shard: r for r in got}
+    for k, r in shards_of.items():
+        assert r.shard_rows == sum(x.shard == k for x in got) and r.version == got[0].version
+    assert sorted(shards_of) == list(range(len(shards_of))) and any(r.generation for r in got)
