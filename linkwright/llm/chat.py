@@ -30,13 +30,16 @@ def _safe(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
+def _speaker(role_col: str) -> Column:
+    return F.coalesce(F.nullif(F.col(role_col), F.lit("")), F.lit("unknown"))
+
+
 def chunks_of_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """(conv_id, chunk, part, says: array of (place, speaker, body)), no array longer than chunk_turns.
 
     The one shuffle of texts is by conversation and chunk, so a long conversation is dealt over many tasks.
     """
-    speaker = F.coalesce(F.nullif(F.col(role_col), F.lit("")), F.lit("unknown"))
-    base = turns.select(F.col(conv_col).alias("conv_id"), F.floor(F.col(turn_col) / chunk_turns).cast("long").alias("chunk"), F.col(turn_col).alias("turn"), speaker.alias("speaker"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    base = turns.select(F.col(conv_col).alias("conv_id"), F.floor(F.col(turn_col) / chunk_turns).cast("long").alias("chunk"), F.col(turn_col).alias("turn"), _speaker(role_col).alias("speaker"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     order = Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), "speaker", "body")
     return (
         base.withColumn("place", F.row_number().over(order) - 1)
@@ -49,17 +52,12 @@ def chunks_of_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: st
 def rotate_perspectives(turns: DataFrame, **options) -> DataFrame:
     """One row per conversation, participant and chunk: (conv_id, perspective, chunk, part, n_turns, rendered, spans).
 
-    Participants are reduced to the distinct speakers of a conversation before they meet its chunks.
+    Participants are the distinct (conversation, speaker) of the turns, found without their texts, before they meet the chunks.
     """
     chunks = chunks_of_turns(turns, **options)
-    speakers = (
-        chunks.select("conv_id", F.explode(F.array_distinct(F.transform("says", lambda s: s["speaker"]))).alias("speaker"))
-        .filter(F.col("speaker") != SYSTEM)
-        .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_set("speaker")).alias("speakers"))
-        .withColumnRenamed("conv_id", "__conv")
-    )
-    rows = chunks.join(speakers, F.col("conv_id").eqNullSafe(F.col("__conv"))).select("conv_id", "chunk", "part", "says", F.explode("speakers").alias("perspective"))
+    named = turns.select(F.col(options.get("conv_col", "conv_id")).alias("of_conv"), _speaker(options.get("role_col", "role")).alias("speaker"))
+    speakers = named.filter(F.col("speaker") != SYSTEM).distinct().groupBy("of_conv").agg(F.array_sort(F.collect_list("speaker")).alias("speakers"))
+    rows = chunks.join(speakers, F.col("conv_id").eqNullSafe(F.col("of_conv"))).select("conv_id", "chunk", "part", "says", F.explode("speakers").alias("perspective"))
 
     def head(s: Column) -> Column:
         who = F.when(s["speaker"] == F.col("perspective"), F.lit("assistant")).when(s["speaker"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), _safe(F.regexp_replace(s["speaker"], r"\s", "_"))))
