@@ -49,7 +49,7 @@ def country_histogram(records: DataFrame, by: str = "source") -> DataFrame:
 
 def _match_counts(truth_lines: DataFrame) -> DataFrame:
     """(n, s2, s3) of each line (s1_id, matched string); repeated ids count."""
-    ids = F.filter(F.transform(F.split(F.coalesce("matched", F.lit("")), ","), F.trim), lambda i: i != "")
+    ids = F.filter(F.transform(F.split(F.coalesce("matched", F.lit("")), ","), lambda i: F.trim(i)), lambda i: i != "")
     begins = lambda p: F.size(F.filter("ids", lambda i: F.startswith(i, F.lit(p))))
     return truth_lines.select(ids.alias("ids")).select(F.size("ids").alias("n"), begins("S2-").alias("s2"), begins("S3-").alias("s3"))
 

@@ -256,8 +256,8 @@ def test_scans_and_truth(spark, tmp_path):
     assert [r.entity_id for r in tsv.read_records(spark, str(path), country="INDIA").collect()] == ["S1-3"]
     assert [r.entity_id for r in tsv.read_records(spark, str(path), max_records=1).collect()] == ["S1-1"]
     truth = tmp_path / "t.tsv"
-    truth.write_text("source1_entity_id\tmatched_entity_ids\na\tx, y,x,\nb\t\nc\na\tz\n", encoding="utf-8")
-    assert {r.s1_id: r.matches for r in tsv.parse_truth(tsv.read_truth_lines(spark, str(truth))).collect()} == {"a": ["z"], "b": [], "c": []}
+    truth.write_text("source1_entity_id\tmatched_entity_ids\na\tx, y,x,\nb\t\nc\na\tz\nd\tS2-250, S3-11,S2-22\n", encoding="utf-8")
+    assert {r.s1_id: r.matches for r in tsv.parse_truth(tsv.read_truth_lines(spark, str(truth))).collect()} == {"a": ["z"], "b": [], "c": [], "d": ["S2-22", "S2-250", "S3-11"]}
 
 
 def test_results_and_validation(spark, tmp_path):
