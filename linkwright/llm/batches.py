@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points that are worked on at once; a longer text comes in several pieces.
 PART = 1 << 20
+#: Bytes of text of a batch that are turned into Python's strings at once.
+SLICE = 1 << 22
 PAD = 0x110000
 CONTEXT = 2
 _U = np.uint64
@@ -84,7 +87,7 @@ class Trigrams:
         counted = np.ones(len(codes), dtype=bool)
         counted[heads] = False
         at = dense[counted[2:]]
-        if k**3 <= 1 << 24:
+        if k**3 <= 1 << 22:
             counts = np.bincount(at, minlength=1)
             found = np.flatnonzero(counts)
             self.counts = counts[found]
@@ -136,6 +139,18 @@ class Counts:
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], ["lang", "key", "n"])
 
 
+def slices(batches: Iterable[pa.RecordBatch], text_at: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes of text (one row at least), so that few texts at a time become Python's."""
+    for batch in batches:
+        column = batch.column(text_at)
+        total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if batch.num_rows else np.empty(0, np.int64)
+        begin, done = 0, 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(total, done + size, "right")))
+            yield batch.slice(begin, end - begin)
+            begin, done = end, int(total[end - 1])
+
+
 def by_label(labels: Sequence[str]) -> dict[str, list[int]]:
     out: dict[str, list[int]] = {}
     for i, label in enumerate(labels):

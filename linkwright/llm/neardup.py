@@ -14,9 +14,11 @@ or two words have one shingle; repeated rows each get their row; a null doc_id n
 (component_id is null if all of them are null); an empty table gives no rows; further columns don't matter.
 
 keep_similar is the pipeline's stage: texts are linked if the Jaccard similarity of their sets of 5-word shingles is
-4/5 or more, exactly. In one order of all shingles (those that a sample finds in many texts last), two such sets share one of
-the first n - ceil(4n/5) + 1 shingles of each. Texts that share one there are candidates: first each with the least of its bucket,
-then, in buckets whose members aren't yet all connected, every pair of different components. Candidates are verified over whole sets.
+4/5 or more, exactly; 64 bits can't tell that (at 4/5 some ten of them differ). In one order of all shingles (those that a sample
+finds in many texts last), two such sets share one of the first n - ceil(4n/5) + 1 shingles of each, which are the tables that
+texts are filed in. Texts that meet there are candidates: first each with a few of its buckets, then, in buckets whose members
+aren't yet all connected, those of different components. The Hamming distance of their sketches, which never exceeds
+that of the sets, rules most of them out; the others are verified over whole sets.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from linkwright.llm.batches import mixed, with_columns
-from linkwright.llm.quality import _SPACE, _bounded, _range_hashes
+from linkwright.llm.batches import apart, mixed, slices, with_columns
+from linkwright.llm.quality import _SPACE, _range_hashes
 from linkwright.llm.simhash import LOW, ascii_lower, hex64, positions, vote, words_of
 from linkwright.plans.staging import broadcast_if_small, discard, staged
 
@@ -45,10 +47,12 @@ SMALL = 6
 WIDTH = 5
 #: Of one document in SAMPLE shingles are counted; those found OFTEN there, MOST at most, come last in the order of shingles.
 SAMPLE, OFTEN, MOST = 16, 8, 1 << 18
+#: Times that texts are compared with few others before all pairs that are left.
+ROUNDS = 2
 #: Members of a crowded bucket that one task compares with as many others.
 CHUNK = 512
-#: Bits of a set's sketch, each the parity of the shingles that fall on it: sets differ in as many shingles as their sketches do in bits, or more.
-SKETCH = 2048
+#: Bits of the smallest sketch of a set, each the parity of the shingles that fall on it: sets differ in as many shingles as their sketches do in bits, or more.
+SKETCH = 256
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -222,7 +226,8 @@ def _with_component(found: DataFrame, distinct: DataFrame, label: DataFrame) ->
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     joined = linked.join(least, "root").select("fp", "component_id")
     of_fp = distinct.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return found.join(of_fp, "fp")
+    # staged, so that both sides of the join come from shuffles and Spark can split the rows of a fingerprint with many copies
+    return found.join(broadcast_if_small(staged(of_fp, "component-of-fingerprint")), "fp")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -231,14 +236,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _least_of_each(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__rows"))
-    kept = staged(kept.select("__keep", "__rows"), "kept")
+    own, back = apart(docs, {id_col})
+    kept = staged(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows")), "kept")
     # as many ids as documents: never a side to broadcast, whatever the size of the corpus
-    out = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep")))
-    once = out.filter("__rows = 1").select(*[f"`{c}`" for c in docs.columns])
-    if kept.filter("__rows > 1").limit(1).count() == 0:
+    out = own.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("kept_id")))
+    once = back(out.filter("kept_rows = 1"))
+    if kept.filter("kept_rows > 1").limit(1).count() == 0:
         return once
-    return once.unionByName(out.filter("__rows > 1").select(*[f"`{c}`" for c in docs.columns]).dropDuplicates([id_col]))
+    return once.unionByName(back(out.filter("kept_rows > 1").dropDuplicates(["kept_id"])))
 
 
 def _lowered(text: str) -> bytes:
@@ -275,90 +280,157 @@ def shingle_sets(texts: list[str], hot: np.ndarray, width: int = WIDTH) -> tuple
     return token[new], np.bincount(of[new], minlength=n)
 
 
+def _sketches(token: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """The sketch of each set: the least power of two of bits that is twice the size of the set or more (SKETCH at least)."""
+    bits = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    begin = np.cumsum(bits) - bits
+    at = np.repeat(begin, n) + (token & (np.repeat(bits, n) - 1).astype(np.uint64)).astype(np.int64)
+    parity = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(bits // 64)]), pa.int32()), pa.array(np.packbits(parity).view(np.int64)))
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, hot: np.ndarray, whole: bool) -> DataFrame:
     """(doc_id, fp, n, shingles, sketch): a hash of each text's set, its size, its first shingles and its sketch, or all shingles and no sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in _bounded(texts):
-                token, n = shingle_sets(texts[begin:end], last)
-                ends = np.cumsum(n)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(token), dtype=np.uint64)])
-                fp = mixed(total[ends] - total[ends - n] + n.astype(np.uint64))
-                size = n if whole else np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
-                place = np.arange(len(token)) - np.repeat(ends - n, n)
-                held = token[place < np.repeat(size, n)].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(held))
-                bits = np.zeros((0 if whole else len(n)) * SKETCH, np.uint8)
-                if not whole:
-                    np.bitwise_xor.at(bits, np.repeat(np.arange(len(n)), n) * SKETCH + (token & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                sketch = np.packbits(bits).view(np.int64)
-                sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (0 if whole else SKETCH // 64), pa.int32()), pa.array(sketch))
-                yield with_columns(batch.slice(begin, end - begin).select([0]), ["fp", "n", "shingles", "sketch"], [pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64)), lists, sketches])
+        for batch in slices(batches, 1, 1 << 20):
+            token, n = shingle_sets([t or "" for t in batch.column(1).to_pylist()], last)
+            ends = np.cumsum(n)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(token), dtype=np.uint64)])
+            fp = mixed(total[ends] - total[ends - n] + n.astype(np.uint64))
+            size = n if whole else np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+            place = np.arange(len(token)) - np.repeat(ends - n, n)
+            held = token[place < np.repeat(size, n)].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(held))
+            sketches = pa.nulls(len(n), pa.list_(pa.int64())) if whole else _sketches(token, n)
+            yield with_columns(batch.select([0]), ["fp", "n", "shingles", "sketch"], [pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64)), lists, sketches])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("shingles", "sketch")]])
     return narrow.mapInArrow(run, schema)
 
 
-def _frequent(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Shingles that many texts of a sample have, the rarest first. Which they are bears on the cost alone."""
+def _frequent(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, DataFrame]:
+    """Shingles that many texts of a sample have, the rarest first, and (token) of them. Which they are bears on the cost alone."""
     some = docs.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(SAMPLE)) == 0)
     sets = _sets(some, id_col, text_col, np.empty(0, np.uint64), True).dropDuplicates(["fp"])
     often = sets.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
-    found = staged(often.orderBy(F.desc("n"), "token").limit(MOST), "frequent-shingles").orderBy("n", "token").toArrow()
-    return found.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    found = staged(often.orderBy(F.desc("n"), "token").limit(MOST), "frequent-shingles")
+    return found.orderBy("n", "token").toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64), found.select("token")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, owners: DataFrame) -> DataFrame:
-    """Staged (a, b): the pairs whose sets of shingles are 4/5 alike or more. owners: (fp, first, n, sketch), a document of each set.
+def _may_share(n: Column, place: Column, m: Column, other: Column) -> Column:
+    """Whether two sets can be 4/5 alike if what stands at these places is the first shingle they share: all before it isn't shared."""
+    return 9 * F.least(n - place, m - other) >= 4 * (n + m)
+
+
+def _postings(owners: DataFrame, hot: DataFrame) -> DataFrame:
+    """Staged (token, fp, n, place, size): the first shingles of each set that other sets have among theirs, with the number of these sets.
+
+    Frequent shingles are counted with partial sums and get their counts back by a broadcast (MOST rows at most): any number of sets may have one.
+    """
+    posted = owners.select(F.posexplode("shingles").alias("place", "token"), "fp", "n")
+    common = posted.join(F.broadcast(hot), "token")
+    counted = staged(common.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "frequent-postings")
+    common = common.join(F.broadcast(counted), "token").select("token", "fp", "n", "place", "size")
+    rare = posted.join(F.broadcast(hot), "token", "left_anti").select("token", "fp", "n", "place", F.count(F.lit(1)).over(Window.partitionBy("token")).alias("size"))
+    return staged(rare.unionByName(common).filter("size > 1"), "postings")
+
 
-    Sets 4/5 alike differ in at most a ninth of their joint size; pairs whose sketches differ in more bits are left out first.
+def _open(posted: DataFrame, label: DataFrame) -> DataFrame:
+    """Staged postings of the shingles whose sets aren't all in one component, with their roots. label: (a, b), of components."""
+    nodes = label.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    placed = posted.drop("root").join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    split = placed.groupBy("token").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("token")
+    return staged(placed.join(split, "token").select("token", "fp", "n", "place", "size", "root"), "open-postings")
+
+
+def _to_centres(placed: DataFrame, k: int) -> DataFrame:
+    """(a, b): each set with two others of each of its buckets: the one that has the shingle first, and one drawn by a hash of k.
+
+    The fewer rare shingles a set has of its own, the earlier come those that it shares: the first set of a bucket is a typical one.
     """
+    member = F.struct("fp", "n", "place", "root")
+    centres = placed.groupBy("token").agg(F.min(F.struct("place", "n", "fp", member.alias("x"))).alias("first"), F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("draw"), member.alias("x"))).alias("drawn"))
+    centres = centres.select("token", F.array("first.x", "drawn.x").alias("centres"))
+    met = placed.join(centres, "token").select("fp", "n", "place", "root", F.explode("centres").alias("o"))
+    met = met.filter((F.col("root") != F.col("o.root")) & _may_share(F.col("n"), F.col("place"), F.col("o.n"), F.col("o.place")))
+    return met.select(F.col("fp").alias("a"), F.col("o.fp").alias("b"))
+
+
+def _all_pairs(placed: DataFrame) -> DataFrame:
+    """(a, b): in each bucket, all pairs of different components that may be alike. Crowded buckets are dealt in squares of CHUNK."""
+    chunks = F.ceil(F.col("size") / CHUNK)
+    dealt = placed.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    dealt = dealt.select("token", F.least("chunk", "x").alias("lo"), F.greatest("chunk", "x").alias("hi"), "chunk", "fp", "n", "place", "root")
+    other = dealt.select("token", "lo", "hi", *[F.col(c).alias(f"o_{c}") for c in ("chunk", "fp", "n", "place", "root")])
+    met = dealt.join(other, ["token", "lo", "hi"]).filter("fp > o_fp and root <> o_root and (lo = hi or chunk <> o_chunk)").filter(_may_share(F.col("n"), F.col("place"), F.col("o_n"), F.col("o_place")))
+    return met.select(F.col("fp").alias("a"), F.col("o_fp").alias("b"))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ; the larger one is folded to the size of the other, as its bits fall there."""
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2 + 1).cast("int"), (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    small, large = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
+    even = F.when(F.size(a) == F.size(b), large).otherwise(fold(large))
+    return F.aggregate(F.zip_with(small, even, lambda p, q: p.bitwiseXOR(q)), F.lit(0), lambda total, x: total + F.bit_count(x))
+
+
+def _possible(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+    """Staged (a, b, n_a, n_b, bits): pairs that their sketches don't rule out. Sets 4/5 alike differ in at most a ninth of their joint size."""
     known = lambda x: owners.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"))
-    bits = sum((F.bit_count(F.get("k_a", F.lit(i)).bitwiseXOR(F.get("k_b", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
-    possible = pairs.distinct().join(known("a"), "a").join(known("b"), "b").filter(9 * bits <= F.col("n_a") + F.col("n_b"))
-    pairs = staged(possible.select("a", "b", "n_a", "n_b"), "candidates")
+    both = pairs.distinct().join(known("a"), "a").join(known("b"), "b").withColumn("bits", _apart(F.col("k_a"), F.col("k_b")))
+    return staged(both.filter(9 * F.col("bits") <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b", "bits"), "candidates")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, owners: DataFrame) -> DataFrame:
+    """Staged (a, b): the pairs whose sets of shingles are 4/5 alike or more. owners: (fp, first), a document of each set."""
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    ids = staged(owners.join(wanted, "fp").select(F.col("first").alias("__id")).distinct(), "asked")
+    ids = staged(owners.select("fp", "first").join(wanted, "fp").select(F.col("first").alias("__id")).distinct(), "asked")
     own = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text"))
     texts = own.join(broadcast_if_small(ids), F.col("__own").eqNullSafe(F.col("__id")), "left_semi")
     sets = staged(_sets(texts, "__own", "__text", np.empty(0, np.uint64), True).select("fp", "shingles"), "shingles")
     side = lambda x: sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     out = staged(both.filter(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "similar")
-    for table in (sets, ids, pairs):
+    for table in (sets, ids):
         discard(table)
     return out
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Staged: of the pairs of each a, the one whose sketches differ least."""
+    best = pairs.groupBy("a").agg(F.min(F.struct("bits", "b", "n_a", "n_b")).alias("x"))
+    return staged(best.select("a", "x.b", "x.n_a", "x.n_b"), "nearest")
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of label with further links."""
+    return components(label.unionByName(links)) if links.limit(1).count() else label
+
+
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id), a row per row of docs: components of texts whose sets of 5-word shingles are 4/5 alike or more."""
-    found = staged(_sets(docs, id_col, text_col, _frequent(docs, id_col, text_col), False), "shingle-sets")
+    """(doc_id, fp, component_id), a row per row of docs: components of texts whose sets of 5-word shingles are 4/5 alike or more.
+
+    ROUNDS times each text not yet in one component with all it meets is compared with the likeliest of a few others; what is still
+    apart after that, and may be alike, is compared pair by pair.
+    """
+    order, hot = _frequent(docs, id_col, text_col)
+    found = staged(_sets(docs, id_col, text_col, order, False), "shingle-sets")
     owners = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "shingles", "sketch")]), "distinct-sets")
-    bucket = Window.partitionBy("token")
-    posted = owners.select("fp", "n", F.explode("shingles").alias("token"))
-    posted = posted.select("*", F.count(F.lit(1)).over(bucket).alias("size"), F.min(F.struct("n", "fp")).over(bucket).alias("least"))
-    posted = staged(posted.filter("size > 1"), "postings")
-    near = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-    first = posted.filter((F.col("fp") != F.col("least.fp")) & near(F.col("n"), F.col("least.n")))
-    links = _verified(first.select(F.greatest("fp", "least.fp").alias("a"), F.least("fp", "least.fp").alias("b")), docs, id_col, text_col, owners)
-    label = components(links)
-    nodes = label.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    placed = posted.filter("size > 2").join(nodes, "fp", "left").select("token", "size", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    split = placed.groupBy("token").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("token")
-    placed = placed.join(split, "token")
-    chunks = F.ceil(F.col("size") / CHUNK)
-    dealt = placed.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    dealt = dealt.select("token", F.least("chunk", "x").alias("lo"), F.greatest("chunk", "x").alias("hi"), "chunk", "fp", "n", "root")
-    other = dealt.select("token", "lo", "hi", *[F.col(c).alias(f"o_{c}") for c in ("chunk", "fp", "n", "root")])
-    pairs = dealt.join(other, ["token", "lo", "hi"]).filter("fp > o_fp and root <> o_root and (lo = hi or chunk <> o_chunk)").filter(near(F.col("n"), F.col("o_n")))
-    more = _verified(pairs.select(F.col("fp").alias("a"), F.col("o_fp").alias("b")), docs, id_col, text_col, owners)
-    if more.limit(1).count():
-        label = components(links.unionByName(more))
+    placed = _postings(owners, hot).withColumn("root", F.col("fp"))
+    label = docs.sparkSession.createDataFrame([], "a long, b long")
+    for k in range(ROUNDS):
+        links = _verified(_nearest(_possible(_to_centres(placed, k), owners)), docs, id_col, text_col, owners)
+        if links.limit(1).count() == 0:
+            break
+        label = _joined(label, links)
+        placed = _open(placed, label)
+    rest = _possible(_all_pairs(placed), owners)
+    if rest.limit(1).count():
+        label = _joined(label, _verified(rest, docs, id_col, text_col, owners))
     return _with_component(found.select("doc_id", "fp"), owners.select("fp", "first"), label).select("doc_id", "fp", "component_id")
 
 

@@ -80,7 +80,7 @@ def test_components_of_a_chain(spark):
 
 
 def test_keep_one_and_edge_cases(spark):
-    schema = "doc_id long, text string, lang string, mix_copy string"
+    schema = "doc_id long, text string, kept_rows string, __keep string"
     docs = spark.createDataFrame([(5, "a b c d", "en", "q"), (3, "A b c d", "en", None), (3, "A b c d", "en", None), (None, "z z z", None, "w"), (9, None, "fr", "w"), (10, "", "fr", "w")], schema)
     kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns
