@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkwright.llm.batches import with_columns
+from linkwright.llm.batches import slices, with_columns
 from linkwright.llm.labelled import HELD_OUT, Adam, Sample, draw, fold, sigmoid
 
 WIDTH = 6
@@ -195,7 +195,7 @@ def score(docs: DataFrame, net: Network, *, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(*shared.value)
-        for batch in batches:
+        for batch in slices(batches, text_at):
             yield with_columns(batch, ["b_score"], [pa.array(own.scores([t or "" for t in batch.column(text_at).to_pylist()]))])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("b_score", T.DoubleType())]))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from linkwright.llm.batches import PAD, Counts, Trigrams, by_label, code_points, text_parts, with_columns, xxhash_longs
+from linkwright.llm.batches import PAD, Counts, Trigrams, by_label, code_points, slices, text_parts, with_columns, xxhash_longs
 from linkwright.llm.labelled import fold
 from linkwright.plans.staging import broadcast_if_small, staged
 
@@ -85,7 +85,7 @@ def count_by_language(docs: DataFrame, lang_col: str, text_col: str) -> DataFram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
-        for batch in batches:
+        for batch in slices(batches, 1):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang, rows in by_label(langs).items():
                 for part in text_parts(letters_only([texts[i] for i in rows])):
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filters(*shared.value)
-        for batch in batches:
+        for batch in slices(batches, text_at):
             lang, score, cover = own.decide([t or "" for t in batch.column(text_at).to_pylist()])
             yield with_columns(batch, [n for n, _ in FIELDS], [pa.array(lang, pa.string()), pa.array(score), pa.array(cover)])
 

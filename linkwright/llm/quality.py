@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from linkwright.llm.batches import Counts, Trigrams, by_label, fresh, mixed, text_parts, with_columns, xxhash_longs
+from linkwright.llm.batches import Counts, Trigrams, by_label, fresh, mixed, slices, text_parts, with_columns, xxhash_longs
 from linkwright.plans.staging import broadcast_if_small, staged
 
 #: Rows of a model that every executor may hold, at 12 bytes each.
@@ -161,7 +161,7 @@ def count_trigrams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
-        for batch in batches:
+        for batch in slices(batches, 1):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang, rows in by_label(langs).items():
                 for part in text_parts([texts[i] for i in rows]):
@@ -272,17 +272,6 @@ class Model:
         return total
 
 
-def _bounded(texts: Sequence[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    begin, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and held + len(t) > size:
-            yield begin, i
-            begin, held = i, 0
-        held += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def score(docs: DataFrame, table: DataFrame, *, lang_col: str = "lang", text_col: str = "text", keep_text: bool = True, entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """Staged docs (without the text unless keep_text) with q_text (a hash), q_words, q_word_chars, q_symbols, q_dup_lines, q_repeat_words, q_chars, q_surprise (mean per character, null without any).
 
@@ -298,19 +287,16 @@ def score(docs: DataFrame, table: DataFrame, *, lang_col: str = "lang", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value) if shared.value else None
-        for whole in batches:
-            lengths = [len(t or "") for t in whole.column(text_at).to_pylist()] if whole.num_rows else []
-            for begin, end in _bounded([range(n) for n in lengths]):
-                batch = whole.slice(begin, end - begin)
-                texts = [t or "" for t in batch.column(text_at).to_pylist()]
-                langs = [v or "" for v in batch.column(lang_at).to_pylist()]
-                base = base_statistics(texts)
-                chars = np.array([len(t) for t in texts])
-                surprise = np.zeros(len(texts))
-                for lang, rows in by_label(langs).items() if own else ():
-                    surprise[rows] = own.surprise(lang, [texts[i] for i in rows])
-                mean = pa.array(surprise / np.maximum(chars, 1), mask=chars == 0)
-                yield with_columns(batch, [n for n, _ in fields], [*map(pa.array, base), pa.array(chars), mean])
+        for batch in slices(batches, text_at, 1 << 20):
+            texts = [t or "" for t in batch.column(text_at).to_pylist()]
+            langs = [v or "" for v in batch.column(lang_at).to_pylist()]
+            base = base_statistics(texts)
+            chars = np.array([len(t) for t in texts])
+            surprise = np.zeros(len(texts))
+            for lang, rows in by_label(langs).items() if own else ():
+                surprise[rows] = own.surprise(lang, [texts[i] for i in rows])
+            mean = pa.array(surprise / np.maximum(chars, 1), mask=chars == 0)
+            yield with_columns(batch, [n for n, _ in fields], [*map(pa.array, base), pa.array(chars), mean])
 
     found = docs.mapInArrow(run, schema)
     if small:
@@ -330,7 +316,7 @@ def surprise_by_joins(rows: DataFrame, table: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             row, langs, texts = (batch.column(k).to_pylist() for k in range(3))
             for part in text_parts([t or "" for t in texts]):
                 grams = Trigrams(part)

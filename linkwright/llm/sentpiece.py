@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkwright.llm.batches import slices
 from linkwright.plans.staging import staged
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -223,7 +224,7 @@ def _splitter(size: int):
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
-        for batch in batches:
+        for batch in slices(batches, 1):
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 marked = MARK + text.replace(" ", MARK)
                 cuts = list(range(0, len(marked), size))
@@ -338,7 +339,7 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", carry: Sequ
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(shared.value)
-        for batch in batches:
+        for batch in slices(batches, len(carry)):
             texts = batch.column(len(carry)).to_pylist()
             step = max(1, PART // max(1, sum(map(len, texts)) // max(1, len(texts))))
             for at in range(0, len(texts), step):
@@ -349,13 +350,13 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", carry: Sequ
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 5):
             found = [_pack(c.matrix()) for c in _chunks_of(batch, v)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "matrix"])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(shared.value)
-        for batch in batches:
+        for batch in slices(batches, len(carry) + CHUNK_COLUMNS.index("text")):
             states = zip(batch.column("entry").to_pylist(), batch.column("exit").to_pylist())
             ids, want = [], []
             for c, (entry, exit_) in zip(_chunks_of(batch, v), states):
