@@ -46,7 +46,7 @@ def load_config(path: str | None = None) -> dict:
 
 def match(s1: DataFrame, targets: DataFrame, classifier, threshold: float, limit: int = candidates.MAX_CANDIDATES, enable_tfidf: bool = False, calibrator: model.Calibrator | None = None, min_similarity: float = blocking.MIN_SIMILARITY, top_k: int = blocking.TOP_K) -> tuple[DataFrame, DataFrame]:
     """(matches, candidates) of normalized records. Matches come out of candidates, so they are a subset of them."""
-    found = staged(candidates.top_candidates(candidates.union_with_provenance(s1, targets, enable_tfidf, min_similarity, top_k), limit), "candidates")
+    found = staged(candidates.best_candidates(s1, targets, limit, enable_tfidf, min_similarity, top_k), "candidates")
     scored = model.score(classifier, features.pair_features(found, s1, targets))
     scored = calibrator.apply(scored) if calibrator else scored
     return model.decide(scored, threshold), found
@@ -101,7 +101,7 @@ class Resolver:
         targets = tsv.sample_targets(targets, pairs, c["data"]["sample_size_targets"] // 2)
         s1n, tn = staged(entities_normalized(s1), "s1"), staged(entities_normalized(targets), "targets")
         parts = staged(training.split(s1n.select(F.col("entity_id").alias("s1_id")), c["data"]["val_fraction"], c["random_seed"]), "split")
-        found = staged(candidates.top_candidates(candidates.union_with_provenance(s1n, tn, *self._blocking()), c["blocking"]["max_candidates_per_s1"]), "candidates")
+        found = staged(candidates.best_candidates(s1n, tn, c["blocking"]["max_candidates_per_s1"], *self._blocking()), "candidates")
         labelled = features.pair_features(training.training_pairs(found, pairs, parts, tn, c["model"]["neg_pos_ratio"]), s1n, tn)
         labelled = staged(labelled.join(parts, "s1_id"), "labelled")
         fit, val = labelled.filter("is_train"), labelled.filter("not is_train")
