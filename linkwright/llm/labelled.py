@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkwright.plans.staging import broadcast_if_small, staged
+
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows of either class that a classifier is fitted on, at most, and the code points of one.
 PER_CLASS = 3000
@@ -27,6 +29,23 @@ class Sample:
     shift: float
 
 
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y): labelled ids outside of the held-out fold. Of an id's labels the least counts; ids that are null teach nothing."""
+    learn = labels.filter((fold("doc_id") != HELD_OUT) & F.col(label).isin(0, 1)).filter("doc_id is not null")
+    return learn.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
+
+
+def every(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Staged (doc_id, text, lang, y) of all labelled rows outside of the held-out fold, in an order by a hash of their id. Of an id's texts the first in code point order counts."""
+    learn = broadcast_if_small(staged(learnable(labels, label), "labels"))
+    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), lang.alias("lang")).join(learn, "doc_id")
+    if docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("t"), F.min("y").alias("y")).select("doc_id", "t.text", "t.lang", "y")
+    hashed = rows.withColumn("h", F.xxhash64(F.lit(label), "doc_id"))
+    return staged(hashed.repartition("h").sortWithinPartitions("h", "doc_id").drop("h"), "labelled-texts")
+
+
 def draw(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Sample:
     """Up to per_class labelled rows of either class, first by a hash of their id, outside of the held-out fold.
 
@@ -34,7 +53,7 @@ def draw(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int = PER
 
     Only ids and labels are ordered; their texts come from a scan of docs joined with these few ids.
     """
-    learn = labels.filter((fold("doc_id") != HELD_OUT) & F.col(label).isin(0, 1)).filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
+    learn = learnable(labels, label)
     count = {r.y: r["count"] for r in learn.groupBy("y").count().collect()}
     chosen = [learn.filter(F.col("y") == v).orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))

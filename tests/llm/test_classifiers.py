@@ -203,3 +203,28 @@ def test_without_labels_nothing_is_known(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert X.score(docs, X.fit(docs, labels)[0]).first().t_score == 0.5
     assert B.score(docs, B.fit(docs, labels)).first().b_score == 0.5
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    _, docs, labels = frames(spark)
+    monkeypatch.setattr(labelled, "PER_CLASS", 10)
+    rows = labelled.every(docs, labels, "toxic")
+    wanted = labels.filter("toxic is not null and doc_id < 700").filter(labelled.fold("doc_id") != 0)
+    assert rows.count() == wanted.count() > 500
+    seen = sum(got.sum() for name, got in X._each_task(rows, X._counted, "counts") if name == "rows")
+    assert seen == rows.count()
+    # a word that only one text has, far behind its 50,000th code point, is learned too
+    rare = spark.createDataFrame([(2, "plain " * 12_000 + "onlyhere", "en")], "doc_id long, text string, lang string")
+    found = labelled.every(rare, spark.createDataFrame([(2, 1)], "doc_id long, toxic int"), "toxic")
+    counts = dict(X._each_task(found, X._counted, "counts"))
+    bucket = X.word_buckets(["onlyhere"])[0][0]
+    assert counts["e1"].reshape(2, -1)[1, bucket] == 1
+
+
+def test_maxima_by_parts_are_those_of_whole_texts(monkeypatch):
+    one, two, sizes = X.word_buckets([r[1] for r in corpus(20)] + ["", "a"])
+    laid, net = X._laid_out(one, two, sizes), X.Classifier.fresh()
+    top, at = net._best(*laid)
+    monkeypatch.setattr(X, "PART_WORDS", 37)
+    again, where = net._best(*laid)
+    assert np.allclose(top, again, atol=1e-6) and np.allclose(top, net._pooled(*laid), atol=1e-6) and (at == where).mean() > 0.99
