@@ -14,7 +14,8 @@ or two words have one shingle; repeated rows each get their row; a null doc_id n
 (component_id is null if all of them are null); an empty table gives no rows; further columns don't matter.
 
 keep_similar is the pipeline's stage: texts are linked if the Jaccard similarity of their sets of 5-word shingles is
-4/5 or more, exactly; 64 bits can't tell that (at 4/5 some ten of them differ). In one order of all shingles (those that a sample
+4/5 or more, exactly. SimHash and multi-index hashing as above find the first links, which whole sets verify; as 64 bits can't tell
+such a similarity (at 4/5 some ten of them differ), what they miss is found by shingles: in one order of all shingles (those that a sample
 finds in many texts last), two such sets share one of the first n - ceil(4n/5) + 1 shingles of each, which are the tables that
 texts are filed in. Texts that meet there are candidates: first each with a few of its buckets, then, in buckets whose members
 aren't yet all connected, those of different components. The Hamming distance of their sketches, which never exceeds
@@ -411,6 +412,20 @@ def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return components(label.unionByName(links)) if links.limit(1).count() else label
 
 
+def _by_simhash(docs: DataFrame, owners: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Staged (a, b): sets of shingles that SimHash links (RADIUS bits at most) and that are 4/5 alike or more."""
+    own = owners.select("first", F.col("fp").alias("set"))
+    bits = fingerprints(docs, id_col=id_col, text_col=text_col).groupBy("doc_id").agg(F.min("fp").alias("bits"))
+    known = staged(bits.join(own, bits["doc_id"].eqNullSafe(own["first"])).select("bits", "set"), "simhash")
+    # sets of one fingerprint meet the least of them, and those of linked fingerprints meet by these
+    least = staged(known.groupBy("bits").agg(F.min("set").alias("least")), "distinct-simhash")
+    linked = near_links(least.select(F.col("bits").alias("fp")))
+    side = lambda x: least.select(F.col("bits").alias(x), F.col("least").alias(f"set_{x}"))
+    pairs = linked.join(side("a"), "a").join(side("b"), "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    same = known.join(least, "bits").filter("set <> least").select(F.col("set").alias("a"), F.col("least").alias("b"))
+    return _verified(_possible(pairs.unionByName(same), owners), docs, id_col, text_col, owners)
+
+
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), a row per row of docs: components of texts whose sets of 5-word shingles are 4/5 alike or more.
 
@@ -421,7 +436,8 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     found = staged(_sets(docs, id_col, text_col, order, False), "shingle-sets")
     owners = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "shingles", "sketch")]), "distinct-sets")
     placed = _postings(owners, hot).withColumn("root", F.col("fp"))
-    label = docs.sparkSession.createDataFrame([], "a long, b long")
+    label = _joined(docs.sparkSession.createDataFrame([], "a long, b long"), _by_simhash(docs, owners, id_col, text_col))
+    placed = _open(placed, label)
     for k in range(ROUNDS):
         links = _verified(_nearest(_possible(_to_centres(placed, k), owners)), docs, id_col, text_col, owners)
         if links.limit(1).count() == 0:

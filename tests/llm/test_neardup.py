@@ -149,3 +149,18 @@ def test_pipeline_stage_drops_edited_copies(spark, tmp_path):
     texts = [t for t in edited_texts() if t]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == set(brute_similar(texts))
+
+
+def test_the_pipelines_stage_links_by_simhash_and_verifies(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "last"]), "", "other words stand here alone today"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = {r.doc_id: r.fp for r in neardup.fingerprints(docs).collect()}
+    assert bin((fps[0] ^ fps[1]) & (2**64 - 1)).count("1") <= neardup.RADIUS
+    # without the steps by shingles, SimHash alone joins the edited copy with its text
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "_all_pairs", lambda placed: placed.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
+    assert {r.doc_id: r.component_id for r in neardup.similar(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    # fingerprints that are alike by chance link nothing: whole sets verify
+    monkeypatch.setattr(neardup, "fingerprints", lambda docs, **_: docs.select("doc_id", F.lit(0).cast("long").alias("fp")))
+    assert {r.doc_id: r.component_id for r in neardup.similar(docs).collect()}[3] == 3
