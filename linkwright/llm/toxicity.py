@@ -202,7 +202,9 @@ def _each_task(rows: DataFrame, f: Callable, name: str) -> Iterator[tuple[str, n
         if out:
             yield pa.RecordBatch.from_pydict({"name": list(out), "data": [np.ascontiguousarray(v, np.float32 if v.dtype == np.float32 else np.float64).tobytes() for v in out.values()], "single": [v.dtype == np.float32 for v in out.values()]})
 
-    table = staged(rows.select("text", "y").mapInArrow(run, "name string, data binary, single boolean").withColumn("task", F.spark_partition_id()), name)
+    # as many tasks as there are cores, however many files: each gives all weights
+    few = rows.select("text", "y").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    table = staged(few.mapInArrow(run, "name string, data binary, single boolean").withColumn("task", F.spark_partition_id()), name)
     for key in sorted(tuple(r) for r in table.select("name", "task").collect()):
         got = table.filter((F.col("name") == key[0]) & (F.col("task") == key[1])).first()
         yield key[0], np.frombuffer(got.data, np.float32 if got.single else np.float64)
