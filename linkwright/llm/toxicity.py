@@ -2,10 +2,9 @@
 
 A word (letters and digits in lower case) has the sum of two hashed embeddings. Filters of widths 1, 2 and 3 run over
 the whole text, their rectified maxima go into a logistic unit. The first dimension of the embeddings begins as
-the smoothed log odds of its bucket in the training sample; Adam (Adagrad for embeddings) then trains all of
-it. Training rows are a bounded sample (PER_CLASS of either label, MAX_CHARS code points each) without the held-out
-fold; texts are scored whole. Thresholds are calibrated by language on a part of the sample that isn't trained on:
-they decide "flagged", while predicted is score >= 0.5; language is no input of the score.
+the smoothed log odds of its bucket in the training rows; Adam (Adagrad for embeddings) then trains all of
+it. Training rows are all labelled ones without the held-out fold, whole texts. Thresholds are calibrated by language on a
+fifth of them that isn't trained on: they decide "flagged", while predicted is score >= 0.5; language is no input of the score.
 
 Defined results: a null text is as empty; an empty one, or one without words, gets the score of no evidence; a language that
 calibration has not seen has threshold 0.5; without labels every score is 0.5; repeated rows each get their
@@ -19,6 +18,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +35,8 @@ FILTERS = 8
 EPOCHS, BATCH, RATE = 4, 64, 0.01
 #: Code points of texts that are taken together, and words whose activations are held at once.
 PART_CHARS, PART_WORDS = 1 << 20, 1 << 16
+#: Numbers of an array that executors add up at once.
+PIECE = 1 << 17
 _NONE = 1 << BUCKET_BITS
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -195,20 +197,38 @@ def _slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], n
 
 
 def _each_task(rows: DataFrame, f: Callable, name: str) -> Iterator[tuple[str, np.ndarray]]:
-    """(name, array) of what f gives for the slices of each task, by way of a staged table: the driver holds one array at a time."""
+    """(name, flat array): the sum over all tasks of what f gives for the slices of each. Executors add up, piece by piece and in the order of tasks, so
+    the driver takes the sums alone, and all of them at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = f(_slices_of(batches))
-        if out:
-            yield pa.RecordBatch.from_pydict({"name": list(out), "data": [np.ascontiguousarray(v, np.float32 if v.dtype == np.float32 else np.float64).tobytes() for v in out.values()], "single": [v.dtype == np.float32 for v in out.values()]})
+        task = TaskContext.get().partitionId()
+        for k, v in f(_slices_of(batches)).items():
+            flat = np.ascontiguousarray(v, np.float32 if v.dtype == np.float32 else np.float64).ravel()
+            for at in range(0, len(flat), PIECE):
+                piece = flat[at : at + PIECE]
+                # the last piece tells the length, others without anything in them are left out
+                if piece.any() or at + PIECE >= len(flat):
+                    yield pa.RecordBatch.from_pydict({"name": [k], "at": [at], "task": [task], "data": [piece.tobytes()], "single": [flat.dtype == np.float32]})
+
+    def add(key: tuple, pieces: pa.Table) -> pa.Table:
+        kind = np.float32 if pieces.column("single")[0].as_py() else np.float64
+        pieces = pieces.sort_by("task")
+        total = np.frombuffer(pieces.column("data")[0].as_py(), kind).copy()
+        for k in range(1, pieces.num_rows):
+            total += np.frombuffer(pieces.column("data")[k].as_py(), kind)
+        return pa.table({"name": [key[0].as_py()], "at": [key[1].as_py()], "data": [total.tobytes()], "single": [kind is np.float32]})
 
     # as many tasks as there are cores, however many files: each gives all weights
     few = rows.select("text", "y").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
-    table = staged(few.mapInArrow(run, "name string, data binary, single boolean").withColumn("task", F.spark_partition_id()), name)
-    for key in sorted(tuple(r) for r in table.select("name", "task").collect()):
-        got = table.filter((F.col("name") == key[0]) & (F.col("task") == key[1])).first()
-        yield key[0], np.frombuffer(got.data, np.float32 if got.single else np.float64)
+    pieces = few.mapInArrow(run, "name string, at long, task long, data binary, single boolean")
+    table = staged(pieces.groupBy("name", "at").applyInArrow(add, "name string, at long, data binary, single boolean"), name)
+    found, out = table.collect(), {}
     discard(table)
+    # the last piece of each array comes first and tells its length
+    for r in sorted(found, key=lambda r: (r.name, -r.at)):
+        piece = np.frombuffer(r.data, np.float32 if r.single else np.float64)
+        out.setdefault(r.name, np.zeros(r.at + len(piece), piece.dtype))[r.at : r.at + len(piece)] = piece
+    yield from out.items()
 
 
 def _counted(work: Iterator[tuple[list[str], np.ndarray]]) -> dict[str, np.ndarray]:
@@ -235,27 +255,18 @@ def _averaged(model: Classifier, squares: dict[str, np.ndarray], rows: DataFrame
         if not n:
             return {}
         step = {k: (v - shared.value[0][k]) * (1 if k in s else n) for k, v in own.p.items()}
-        return step | {f"squares-{k}": s[k] - shared.value[1][k] for k in s} | {"rows": np.array([float(n)])}
-
-    total: dict[str, np.ndarray] = {}
-    moved = {k: np.zeros(_NONE + 1, np.float32) for k in squares}
-    for k, got in _each_task(rows, run, "weights"):
-        if k in total:
-            total[k] += got
-        else:
-            total[k] = got.copy()
-        if k.startswith("squares-"):
-            moved[k.removeprefix("squares-")] += got > 0
+        grown = {k: s[k] - shared.value[1][k] for k in s}
+        return step | {f"squares-{k}": v for k, v in grown.items()} | {f"moved-{k}": (v > 0).astype(np.float32) for k, v in grown.items()} | {"rows": np.array([float(n)])}
+
+    total = dict(_each_task(rows, run, "weights"))
     shared.destroy()
-    p = {k: v + (total[k].reshape(v.shape) / (np.maximum(moved[k], 1)[:, None] if k in moved else total["rows"][0])).astype(np.float32) for k, v in model.p.items()}
+    p = {k: v + (total[k].reshape(v.shape) / (np.maximum(total[f"moved-{k}"], 1)[:, None] if k in squares else total["rows"][0])).astype(np.float32) for k, v in model.p.items()}
     return Classifier(p), {k: v + total[f"squares-{k}"].reshape(-1, 1).astype(np.float32) for k, v in squares.items()}
 
 
 def train(rows: DataFrame, epochs: int = EPOCHS, seed: int = 3) -> Classifier:
     """The classifier of all rows (text, y) of a staged table."""
-    model, seen = Classifier.fresh(), {}
-    for k, got in _each_task(rows, _counted, "bucket-counts"):
-        seen[k] = seen.get(k, 0) + got
+    model, seen = Classifier.fresh(), dict(_each_task(rows, _counted, "bucket-counts"))
     zeros, ones = seen["rows"] if seen else (0, 0)
     if not zeros or not ones:
         model.p["o"][:], model.p["c"][:] = 0, 0

@@ -221,6 +221,24 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert counts["e1"].reshape(2, -1)[1, bucket] == 1
 
 
+def test_executors_add_up_what_tasks_give(spark, monkeypatch):
+    monkeypatch.setattr(X, "PIECE", 4)
+    rows = spark.createDataFrame([(f"text {i}", i % 2) for i in range(40)], "text string, y int").repartition(3)
+
+    def given(work):
+        y = np.concatenate([labels for _, labels in work])
+        return {"few": np.array([len(y), y.sum()], np.float32), "many": np.r_[np.zeros(9), y.sum(), np.zeros(5)]}
+
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    got = list(X._each_task(rows, given, "sums"))
+    assert [k for k, _ in got] == ["few", "many"]
+    assert got[0][1].tolist() == [40, 20] and got[0][1].dtype == np.float32
+    assert got[1][1].tolist() == [0] * 9 + [20] + [0] * 5
+    # one job for each array of each task once took the driver's memory
+    assert len(set(tracker.getJobIdsForGroup()) - before) < 6
+
+
 def test_maxima_by_parts_are_those_of_whole_texts(monkeypatch):
     one, two, sizes = X.word_buckets([r[1] for r in corpus(20)] + ["", "a"])
     laid, net = X._laid_out(one, two, sizes), X.Classifier.fresh()
