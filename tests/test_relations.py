@@ -8,6 +8,7 @@ from linkwright.operators.links import Keyed, Rows
 from linkwright.operators.normalize import entities_normalized
 from linkwright.plans.staging import staged
 from linkwright.sources import entities as E
+from tests.test_linkage import brute_similarity
 
 NAMES = ["North River Trading", "North River Trading Ltd", "River North Trading", "Northriver Trading", "Blue Stone", "Blue Stone Works", "X"]
 
@@ -76,3 +77,24 @@ def test_words_of_records_come_from_the_head_of_a_text(spark):
     whole = r"slice(split(trim(regexp_replace(lower(text), r'[^\p{L}\p{N}]+', ' ')), ' '), 1, 8) as ws"
     assert [r.ws[:8] if r.ws else r.ws for r in df.selectExpr(E.WORDS).collect()] == [r.ws for r in df.selectExpr(whole).collect()]
     assert df.selectExpr(E.WORDS.replace(" as ws", "") + " as w").selectExpr("max(size(w)) as n").first().n <= 10
+
+
+def test_similarity_join_has_a_vector_for_each_text(spark, monkeypatch):
+    schema = "entity_id string, name struct<core_name: string>, address struct<cleaned: string>"
+    s1, targets = (spark.createDataFrame([(f"{side}-{i}", (NAMES[i * i % 7].lower(),), (f"{1 + i % 3} main st",)) for i in range(n)], schema).coalesce(1) for side, n in (("S1", 12), ("S2", 40)))
+    vectors, stage = [], blocking.staged
+
+    def counted(df, name):
+        out = stage(df, name)
+        if name == "vectors":
+            vectors.append(out.count())
+        return out
+
+    monkeypatch.setattr(blocking, "staged", counted)
+    monkeypatch.setattr(blocking, "TARGET_BLOCK", 6)
+    records = [df.select("entity_id", F.lower(F.concat_ws(" ", "name.core_name", "address.cleaned")).alias("text")).collect() for df in (s1, targets)]
+    got = {(r.s1_id, r.target_id): r.similarity for r in blocking.by_similarity(s1, targets, 0.25, 7).collect()}
+    want = brute_similarity(s1, targets, 0.25, 7)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    assert vectors == [len({r.text for r in side}) for side in records]
+    assert [len(side) for side in records] != vectors
