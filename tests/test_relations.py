@@ -7,6 +7,7 @@ from linkwright.operators import blocking, candidates, evaluation, links, traini
 from linkwright.operators.links import Keyed, Rows
 from linkwright.operators.normalize import entities_normalized
 from linkwright.plans.staging import staged
+from linkwright.queries import QUERIES
 from linkwright.sources import entities as E
 from tests.test_linkage import brute_similarity
 
@@ -50,6 +51,24 @@ def test_best_candidates_are_those_of_the_union(crowd):
     assert union.count() == union.select("s1_id", "target_id").distinct().count()
 
 
+def test_candidates_are_marked_as_exact_where_they_are_made(crowd):
+    s1, targets = crowd
+    rows = candidates._capped(s1, targets, False, 0.25, 20)
+    exact = set(rows_of(blocking.exact_union(s1, targets)))
+    got = rows_of(rows.selectExpr("s1_id", "target_id", "bits & 1 as exact").distinct())
+    assert {r[:2] for r in got if r[2]} == exact & {r[:2] for r in got} and len({r[:2] for r in got}) == len(got)
+    # a join for tokens and for either key of addresses, and none of pairs with records
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 3
+    twice = s1.withColumn("name", F.col("name").withField("core_name", F.lit("other")).withField("sorted_tokens", F.lit("other")).withField("alphanumeric", F.lit("other"))).unionByName(s1)
+    marked = {r[:2] for r in rows_of(candidates._capped(twice, targets, False, 0.25, 20).filter("bits & 1 = 1").select("s1_id", "target_id").distinct())}
+    assert marked == exact & {r[:2] for r in got}
+
+
+def test_distances_of_the_fixed_scorer_are_computed_once(spark):
+    resolved = QUERIES["resolve_fixed_scorer"](spark, "/root/testdata/sf0.001")
+    assert "levenshtein" not in resolved._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_relations_by_keys_and_by_rows_agree(crowd, spark):
     s1, targets = crowd
     side = lambda df, name: df.select(F.col("entity_id").alias(name), "country", F.col("address.building_number").alias("no"))
