@@ -1,9 +1,10 @@
 import itertools
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from linkwright.operators import blocking, candidates, evaluation, links, training
+from linkwright.operators import blocking, candidates, evaluation, features, links, training
 from linkwright.operators.links import Keyed, Rows
 from linkwright.operators.normalize import entities_normalized
 from linkwright.plans.staging import staged
@@ -90,6 +91,25 @@ def test_relations_by_keys_and_by_rows_agree(crowd, spark):
         assert rows_of(f(predicted, by_keys, asked)) == rows_of(f(predicted.pairs(), by_rows.rows, asked))
 
 
+def test_features_of_training_pairs_are_counted(crowd, monkeypatch):
+    s1, targets = crowd
+    side = lambda df, name: df.select(F.col("entity_id").alias(name), "country", F.col("address.building_number").alias("no"))
+    truth = Keyed(side(s1, "s1_id"), side(targets, "target_id"), ["country", "no"])
+    found, asked = staged(candidates.best_candidates(s1, targets, 3), "found"), s1.select(F.col("entity_id").alias("s1_id")).filter("ingest_seq % 4 > 0")
+    pairs = features.pair_features(training.training_pairs(found, truth, s1.select(F.col("entity_id").alias("s1_id")), targets).join(asked, "s1_id", "left_semi"), s1, targets)
+    want = Counter(tuple(r) for r in pairs.select("label", *features.ALL).collect())
+    own = training.labelled_features(found, truth, asked, s1, targets)
+    assert Counter(tuple(r) for r in own.select("label", *features.ALL).collect()) == want and {r.weight for r in own.collect()} == {1.0}
+    by_rows = training.labelled_features(found, Rows(staged(truth.pairs(), "rows")), asked, s1, targets)
+    assert Counter(tuple(r) for r in by_rows.select("label", *features.ALL).collect()) == want
+    monkeypatch.setattr(training, "PIECES", 8)
+    few = training.labelled_features(found, truth, asked, s1, targets).collect()
+    weights = Counter()
+    for r in few:
+        weights[tuple(r[c] for c in ("label", *features.ALL))] += r.weight
+    assert {k: round(v, 6) for k, v in weights.items()} == want and len(few) < sum(want.values()) / 2
+
+
 def test_words_of_records_come_from_the_head_of_a_text(spark):
     texts = ["", None, "--", "one", "  a-b_c d1 e  f,g h i j k l", "ΑΣ ΒΣ ΓΣ ΔΣ ΕΣ ΖΣ ΗΣ ΘΣ'Α ΙΣ", "İa b c d e f g h i j", "x " * 5000, "." * 50000 + "q"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
