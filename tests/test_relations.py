@@ -43,6 +43,19 @@ def test_exact_pairs_come_once_and_are_not_shuffled(crowd):
     assert rows_of(blocking.exact_core(twice, targets)) == rows_of(blocking.exact_core(s1, targets))
 
 
+def test_held_pairs_go_to_the_array_of_their_target_alone(crowd):
+    s1, targets = crowd
+    every = set(rows_of(blocking.exact_union(s1, targets)))
+    some = sorted(every)[::3]
+    foreign = [(a, b) for a in ("S1-0", "S1-3") for b in ("S2-1", "S3-2", "none") if (a, b) not in every]
+    held = staged(s1.sparkSession.createDataFrame([*some, *some[:5], *foreign, ("none", "S2-1"), ("S1-0", None)], "s1_id string, target_id string"), "held")
+    for left, whole in ((blocking.exact_union(s1, targets, held), every),):
+        assert rows_of(left) == sorted(whole - set(some))
+        # no record's held pairs are joined to all that it asks
+        plan = left._jdf.queryExecution().optimizedPlan().toString()
+        assert foreign and not [line for line in plan.splitlines() if "Join" in line and "s1_id" in line]
+
+
 def test_best_candidates_are_those_of_the_union(crowd):
     s1, targets = crowd
     limit = 3
