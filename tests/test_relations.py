@@ -49,7 +49,8 @@ def test_held_pairs_go_to_the_array_of_their_target_alone(crowd):
     some = sorted(every)[::3]
     foreign = [(a, b) for a in ("S1-0", "S1-3") for b in ("S2-1", "S3-2", "none") if (a, b) not in every]
     held = staged(s1.sparkSession.createDataFrame([*some, *some[:5], *foreign, ("none", "S2-1"), ("S1-0", None)], "s1_id string, target_id string"), "held")
-    for left, whole in ((blocking.exact_union(s1, targets, held), every),):
+    keyed = blocking.core_links(s1, targets)
+    for left, whole in ((blocking.exact_union(s1, targets, held), every), (keyed.without(held), set(rows_of(keyed.pairs())))):
         assert rows_of(left) == sorted(whole - set(some))
         # no record's held pairs are joined to all that it asks
         plan = left._jdf.queryExecution().optimizedPlan().toString()
